@@ -4,19 +4,77 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.chat_quotes import format_chats
+from quarry.llm.decontamination import contained_items
+from quarry.llm.language_id import language_id
+from quarry.llm.line_dedup import line_dedup
+from quarry.llm.mixing import mix, permute
+from quarry.llm.ngram_join import ngram_join
 from quarry.llm.quality_rules import quality_rules
+from quarry.llm.sharding import shard_digest
+from quarry.llm.token_counts import length_histogram
+from quarry.llm.url_filter import url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every drawn document in the mixture's blocks; the budget is the corpus's own number of words."""
+    drawn = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), entropy_share=0.97, max_repetition=4.0)
+    return permute(drawn.drop("text"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of which it holds 0.8 or more of the 5-word shingles."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+def op6_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later repeats of runs of lines of 50 words or more."""
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).drop("text", "failed")
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_sharding": op2_sharding,
+    "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_chat_quotes": op6_chat_quotes,
+    "op7_url_filter": op7_url_filter,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 

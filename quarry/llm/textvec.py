@@ -85,8 +85,13 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text and the number of words at last)."""
+    return words_at(data, offsets, kind, lower)[:2]
+
+
+def words_at(data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, with the byte where each word starts."""
     if not len(data):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.int64)
     gap = _SKIPS[kind][data]
     begins = np.empty(len(data), dtype=bool)
     begins[0] = True
@@ -97,11 +102,11 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: boo
     starts = np.flatnonzero(begins)
     first = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), first
+        return np.zeros(0, dtype=np.uint64), first, starts
     up, down = _POWERS.upto(len(data))
     with np.errstate(over="ignore"):
         sums = np.add.reduceat(_TABLES[kind, lower][data] * up[: len(data)], starts)
-        return mix(sums * down[starts]), first
+        return mix(sums * down[starts]), first, starts
 
 
 #: Odd multipliers of a shingle's words, by place.
@@ -120,6 +125,12 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
         return mix(total)
 
 
+def whole(hashes: np.ndarray) -> np.ndarray:
+    """A text of fewer words than a shingle, as one shingle."""
+    with np.errstate(over="ignore"):
+        return mix(np.array([(hashes * _PLACES[: len(hashes)]).sum(dtype=np.uint64) ^ np.uint64(len(hashes))], dtype=np.uint64))
+
+
 def shingle_sets(column: pa.Array, k: int, kind: str = "space") -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingles) of every text; a text of fewer than k words has its whole sequence as one shingle, a text without words none."""
     for row, data, offsets in chunks(column):
@@ -130,8 +141,7 @@ def shingle_sets(column: pa.Array, k: int, kind: str = "space") -> Iterator[tupl
             if b - a >= k:
                 yield row + i, np.unique(grams[a : b - k + 1])
             elif b > a:
-                with np.errstate(over="ignore"):
-                    yield row + i, mix(np.array([(hashes[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64) ^ np.uint64(b - a)], dtype=np.uint64))
+                yield row + i, whole(hashes[a:b])
             else:
                 yield row + i, np.zeros(0, dtype=np.uint64)
 
@@ -143,3 +153,28 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
         two = mix(tokens + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
         pair = mix(np.array([one, two + np.uint64(len(tokens))], dtype=np.uint64)).view(np.int64)
     return int(pair[0]), int(pair[1])
+
+
+def line_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, hash, words, place among all lines) of the lines with a word, for every text; lines are their words in order."""
+    none = np.zeros(0, dtype=np.int64)
+    for row, data, offsets in chunks(column):
+        hashes, first, starts = words_at(data, offsets, "space", lower=False)
+        if not len(hashes):
+            for i in range(len(offsets) - 1):
+                yield row + i, none.view(np.uint64), none, none
+            continue
+        breaks = np.flatnonzero(data == 10)
+        line = np.searchsorted(breaks, starts)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        one = line + text
+        heads = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
+        up, down = _POWERS.upto(len(hashes))
+        with np.errstate(over="ignore"):
+            value = mix(np.add.reduceat(hashes * up[: len(hashes)], heads) * down[heads])
+        counts = np.diff(np.r_[heads, len(hashes)])
+        place = line[heads] - np.searchsorted(breaks, offsets[text[heads]])
+        cuts = np.searchsorted(heads, first)
+        for i in range(len(offsets) - 1):
+            a, b = cuts[i], cuts[i + 1]
+            yield row + i, value[a:b], counts[a:b], place[a:b]
