@@ -15,6 +15,12 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    ensure_checkpoint_folder(spark)
+    return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, so a lost executor costs one read."""
     ensure_checkpoint_folder(df.sparkSession)
