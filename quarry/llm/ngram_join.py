@@ -14,7 +14,8 @@ pair of tokens heads both documents.
    The same pass counts frequent tokens by lossy counting: tokens that recur in a buffer of
    ``BUFFER`` tokens are summed, and those of a share above 2**-19 of all tokens, at most 2**19 of
    them, make the frequent classes. They steer the order only; any order gives the same links.
-2. Keys that two or more classes share make star edges to the smallest class of the key, and
+2. Extended prefixes (longer than the prefix by its share ``extra``) drop the sets that can't link.
+   Keys that two or more of the rest share make star edges to the smallest class of the key, and
    their connected components are the groups of classes that can link.
 3. The sets of a group meet in one task, each shipped once, where links are verified exactly and
    merged. A group of more than ``GROUP_TOKENS`` is cut by size and hash into pieces below that;
@@ -36,6 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import connected_components, cut
@@ -112,55 +114,97 @@ def _frequent(counted: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarray]:
     return table[order], np.array([c for _, c in found], dtype=np.int64)[order]
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, classes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set: rare tokens of the prefix, and pairs of frequent ones."""
+#: Kinds of index rows: a rare token of the extended prefix only, one of the prefix itself, a pair of tokens.
+EXTENDED, SINGLE, PAIR = 0, 1, 2
+
+
+def index_rows(tokens: np.ndarray, frequent: np.ndarray, classes: np.ndarray, num: int, den: int, extra: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, kinds, need) of a set: its index rows, and how many rare tokens of its extended prefix others must hold in theirs."""
     n = len(tokens)
-    t = least_overlap(n, num, den)
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), 0
     if n * den < (n + 1) * num:  # too small to link with any set but its equals
-        return np.zeros(0, dtype=np.uint64)
+        return none
+    t = least_overlap(n, num, den)
     first = n - t + 1
+    k = min(1 + -int(-first * extra // 1), t)
+    reach = n - t + k
+    rare, common = tokens, tokens[:0]
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
-        rare = tokens[~often]
-        if len(rare) >= first:
-            return rare[:first]
-        common = tokens[often]
-        common = common[np.argsort(classes[at[often]], kind="stable")]
-    else:
-        return tokens[:first]
+        if often.any():
+            rare, common = tokens[~often], tokens[often]
+            common = common[np.argsort(classes[at[often]], kind="stable")]
+    head = rare[:reach]
+    kinds = np.where(np.arange(len(head)) < first, SINGLE, EXTENDED).astype(np.int32)
+    need = k - (reach - len(head))
+    if len(rare) >= first:
+        return head, kinds, need
     ranked = np.concatenate([rare, common])[: first + 1]
-    heads = np.arange(len(rare), first)
-    if len(heads) == 0:
-        return rare
     left, right = np.triu_indices(len(ranked) - len(rare), 1)
     left, right = ranked[len(rare) + left], ranked[len(rare) + right]
     with np.errstate(over="ignore"):
         pairs = mix(left * np.uint64(0xD6E8FEB86659FD93) + mix(right))
     # An overlap of one token has no pair: only sets of a least overlap of one can have such a link.
-    return np.concatenate([rare, pairs] if t > 1 else [ranked[:first], pairs])
+    alone = ranked[len(rare) : first] if t == 1 else ranked[:0]
+    more = np.concatenate([pairs, alone])
+    return np.concatenate([head, more]), np.concatenate([kinds, np.full(len(more), PAIR, dtype=np.int32)]), need
 
 
-def _index(docs: DataFrame, text: str, k: int, num: int, den: int, frequent: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """(key, d1) of every distinct set."""
+def _index(docs: DataFrame, text: str, k: int, num: int, den: int, extra: float, frequent: np.ndarray, classes: np.ndarray) -> DataFrame:
+    """(key, d1, mark) of every distinct set; the mark is four times the need, and the kind."""
     held = docs.sparkSession.sparkContext.broadcast((frequent, classes))  # at most FREQUENT entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, owners = [], []
+            keys, owners, marks = [], [], []
             for _, tokens in shingle_sets(batch.column(0), k):
                 if len(tokens):
                     digest = fingerprint(tokens)[0]
                     if digest not in seen:
                         seen.add(digest)
-                        some = index_keys(tokens, *held.value, num, den)
+                        some, kind, need = index_rows(tokens, *held.value, num, den, extra)
                         keys.append(some)
+                        marks.append(kind + np.int32(4 * max(need, 0)))
                         owners.append(np.full(len(some), digest, dtype=np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "d1"])
+                columns = [pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (owners, marks)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "d1", "mark"])
+
+    return docs.select(text).mapInArrow(run, "key bigint, d1 bigint, mark int")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows of the keys that two sets or more hold, each once."""
+    by_key = W.partitionBy("key")
+    return rows.withColumns({"low": F.min("d1").over(by_key), "high": F.max("d1").over(by_key)}).filter("low <> high").drop("low", "high").dropDuplicates(["key", "d1"])
 
-    return docs.select(text).mapInArrow(run, "key bigint, d1 bigint")
+
+def _enough(rows: DataFrame) -> DataFrame:
+    """Rows of the sets that hold as many shared keys as they need."""
+    return rows.withColumn("__n", F.count("*").over(W.partitionBy("d1"))).filter(F.col("__n") >= F.col("need")).drop("__n")
+
+
+def _candidates(index: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that connect the sets that can link.
+
+    Rare tokens meet by key; how many sets hold one is bounded by what makes a token frequent. A set
+    whose extended prefix has too few tokens in common with others' can't link and falls out, and
+    once more among those left. Inside a key, sets are chained in order of size where neighbours'
+    sizes can link. Pairs of frequent tokens may be held by any number of sets: they are reduced by
+    aggregation to stars.
+    """
+    rare = index.filter(F.col("mark") % 4 < PAIR).withColumn("need", F.floor(F.col("mark") / 4).cast("int"))
+    once = cut(_enough(_shared(rare)))
+    left = _shared(_enough(_shared(once)).filter(F.col("mark") % 4 == SINGLE)).select("key", "d1").join(sizes, "d1")
+    by_size = W.partitionBy("key").orderBy("n", "d1")
+    chained = left.select("d1", "n", F.lag("d1").over(by_size).alias("d0"), F.lag("n").over(by_size).alias("n0"))
+    chains = chained.filter((F.col("n0") * den >= F.col("n") * num) & (F.col("d0") != F.col("d1"))).select(F.col("d1").alias("a"), F.col("d0").alias("b"))
+    pairs = index.filter(F.col("mark") % 4 == PAIR).select("key", "d1")
+    shared = pairs.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high")
+    stars = pairs.join(shared, "key").filter("d1 <> low").select(F.col("d1").alias("a"), F.col("low").alias("b"))
+    return chains.unionByName(stars)
 
 
 def link(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -232,18 +276,16 @@ def _tasks(classes: DataFrame, num: int, den: int, group_tokens: int) -> tuple[D
     return rest.unionByName(dealt.select(*rest.columns)), True
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, extra: float = 0.5, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the smallest key that links reach from it."""
     summaries = cut(_summaries(docs, key, text, k))
     rows = summaries.filter("kind = 0").select("id", "n", "d1", "d2")
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     frequent, ranks = _frequent(summaries.filter("kind = 1"), tokens)
-    keyed = _index(docs, text, k, num, den, frequent, ranks)
-    shared = keyed.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high")
-    edges = keyed.join(shared, "key").filter("d1 <> low").select(F.col("d1").alias("a"), F.col("low").alias("b"))
-    groups = connected_components(edges)
     full = rows.filter("n > 0")
     classes = full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    edges = _candidates(_index(docs, text, k, num, den, extra, frequent, ranks), full.groupBy("d1").agg(F.max("n").alias("n")), num, den)
+    groups = connected_components(edges)
     grouped = cut(classes.join(groups, classes["d1"] == groups["node"]).filter("id is not null").select("label", "id", "n", "d1", "d2"))
     dealt, was_cut = _tasks(grouped, num, den, group_tokens)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
