@@ -1 +1,4 @@
-"""Part of the engine."""
+"""Named queries over the tables of a folder."""
+
+from quarry.plans import dedup_queries  # noqa: F401
+from quarry.plans.catalog import QUERIES, SQL  # noqa: F401
