@@ -48,35 +48,33 @@ def neighbours(near: list[tuple[str, str, float]], radius: float) -> dict[str, l
 
 
 class Clusters:
-    """Density clusters of images over growing radii. Images once visited stay so, as radii grow."""
+    """Density clusters of images over growing radii. What a radius visits or labels stays so; each radius numbers its clusters from 1."""
 
     def __init__(self, images: list[str], least: int = 10) -> None:
         self.images, self.least = sorted(images), least
         self.visited: set[str] = set()
         self.label: dict[str, int] = {}
-        self.next = itertools.count(1)
+
+    def _around(self, near: dict[str, list[str]], image: str) -> list[str]:
+        return [x for x in near.get(image, [image]) if x not in self.visited]
 
     def grow(self, near: dict[str, list[str]]) -> dict[str, int]:
-        """Cluster the images not visited yet, in order of name."""
-        for image in self.images:
-            if image in self.visited:
-                continue
-            around = [x for x in near.get(image, [image]) if x not in self.visited]
-            if len(around) < self.least:
+        """Cluster the images that have no label yet, in order of name; an image counts itself until it is visited."""
+        numbers = itertools.count(1)
+        for seed in self.images:
+            if seed in self.label or len(self._around(near, seed)) < self.least:
                 continue
-            number, stack = next(self.next), [image]
-            while stack:
-                x = stack.pop()
-                if x in self.visited:
-                    continue
-                self.visited.add(x)
-                self.label[x] = number
-                more = [y for y in near.get(x, [x]) if y not in self.visited]
-                if len(more) + 1 >= self.least:
-                    stack.extend(reversed(more))
-                else:
-                    for y in more:
-                        self.label.setdefault(y, number)
+            number = self.label[seed] = next(numbers)
+            open_ends = [seed]
+            while open_ends:
+                image = open_ends.pop()
+                if image not in self.visited:
+                    self.visited.add(image)
+                    around = self._around(near, image)
+                    if len(around) >= self.least:
+                        open_ends += around
+                        for other in around:
+                            self.label.setdefault(other, number)
         return self.label
 
 
@@ -160,7 +158,7 @@ def search_versions(chunks: DataFrame, low: float = 0.5, step: float = 0.05, hig
     best = scored.groupBy("image", "digest").agg(F.max("score").alias("score"), F.max("size").alias("size"))
     test = split.filter("part = 'test'").groupBy("image", "digest").agg(F.max("size").alias("need"))
     joined = best.join(test, ["image", "digest"], "full_outer").withColumn("threshold", F.explode(grid))
-    inside = F.col("score") >= F.col("threshold")
+    inside = F.col("score") > F.col("threshold")
     cost = F.sum(F.when(inside, F.col("size")).otherwise(F.coalesce("need", F.lit(0))))
     costs = joined.groupBy("image", "threshold").agg(cost.alias("bytes"))
     return costs.groupBy("image").agg(F.min_by(F.struct("threshold", "bytes"), F.struct("bytes", -F.col("threshold"))).alias("x")).select("image", "x.*")

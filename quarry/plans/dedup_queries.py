@@ -123,9 +123,9 @@ def cas_dedup_read(spark, sf_dir):
     return found.select("ino", "idx", "from_ino", F.when(F.col("from_ino").isNull(), "Backend").otherwise("CacheFast").alias("region"))
 
 
-@query("unused_blobs", f"WITH {BLOBS}, {STORE} SELECT blob_id FROM blobs WHERE blob_id NOT IN (SELECT blob_id FROM store WHERE size > 45 AND chunk_offset % 5 = 0)")
+@query("unused_blobs", f"WITH {BLOBS}, {STORE} SELECT blob_id FROM blobs WHERE blob_id NOT IN (SELECT blob_id FROM store WHERE size > 45 AND chunk_offset % 500 < 8)")
 def unused_blobs(spark, sf_dir):
-    return _blobs(spark, sf_dir).join(_store_chunks(spark, sf_dir).filter("size > 45 and chunk_offset % 5 = 0"), "blob_id", "left_anti").select("blob_id")
+    return _blobs(spark, sf_dir).join(_store_chunks(spark, sf_dir).filter("size > 45 and chunk_offset % 500 < 8"), "blob_id", "left_anti").select("blob_id")
 
 
 @query("stale_blobs", f"WITH {BLOBS} SELECT blob_id FROM blobs b WHERE NOT EXISTS (SELECT 1 FROM (SELECT '/cache/'||p_partkey listed FROM part WHERE p_partkey % 2 = 0) l WHERE l.listed = b.file_path)")
@@ -135,11 +135,11 @@ def stale_blobs(spark, sf_dir):
     return _blobs(spark, sf_dir).join(listed, "file_path", "left_anti").select("blob_id")
 
 
-@query("new_blobs", "SELECT DISTINCT CAST(l_suppkey AS BIGINT) blob_id FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7)")
+@query("new_blobs", "SELECT DISTINCT CAST(l_suppkey AS BIGINT) blob_id FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_quantity < 2)")
 def new_blobs(spark, sf_dir):
     """Blobs of a manifest that the store doesn't list yet."""
-    items = model.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("blob_id"), "l_returnflag", "l_linenumber")
-    return items.filter("l_returnflag = 'R'").select("blob_id").distinct().join(items.filter("l_linenumber = 7").select("blob_id"), "blob_id", "left_anti")
+    items = model.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("blob_id"), "l_returnflag", "l_linenumber", "l_quantity")
+    return items.filter("l_returnflag = 'R'").select("blob_id").distinct().join(items.filter("l_linenumber = 7 and l_quantity < 2").select("blob_id"), "blob_id", "left_anti")
 
 
 @query("blob_containment", "SELECT DISTINCT s_nationkey AS layer, count(*) FILTER (WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity < 3)) AS missing FROM supplier GROUP BY 1")

@@ -39,3 +39,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; one of this machine where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
+    return folder
