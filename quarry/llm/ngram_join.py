@@ -51,7 +51,7 @@ LOCAL_MIN, GLOBAL_MIN = 4, 64
 FREQUENT = 1 << 19
 #: Tokens of the sets that meet in a task, at most, but for a single larger set.
 GROUP_TOKENS = 2_000_000
-#: Classes of groups whose keys are broadcast to fetch their texts (about 50 bytes each), at most.
+#: Rows of classes and tasks that are broadcast to fetch their texts (about 60 bytes each), at most.
 BROADCAST_CLASSES = 300_000
 
 
@@ -289,7 +289,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     grouped = cut(classes.join(groups, classes["d1"] == groups["node"]).filter("id is not null").select("label", "id", "n", "d1", "d2"))
     dealt, was_cut = _tasks(grouped, num, den, group_tokens)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    few = grouped.count() <= BROADCAST_CLASSES and not was_cut
+    few = dealt.count() <= BROADCAST_CLASSES
     found = _verified(texts.join(F.broadcast(dealt) if few else dealt, "id"), k, num, den)
     if was_cut:
         merged = connected_components(found)

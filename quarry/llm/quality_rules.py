@@ -155,6 +155,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    clash = {c: f"__own_{c}" for c in docs.columns if c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "kept")}
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "kept")
+    clash = {c: f"__own_{c}" for c in docs.columns if c in made}
     judged = quality_rules(docs.withColumnsRenamed(clash), rules).filter("kept")
-    return judged.withColumnsRenamed({b: a for a, b in clash.items()}).select(*docs.columns)
+    return judged.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
