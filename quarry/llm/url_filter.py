@@ -104,6 +104,8 @@ def listed(cascade: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 def sized(level: int, keys: int, others: int) -> tuple[int, int]:
     """(bits, hash functions) of a level: level 1 lets pass about as many others as it has keys, each later level half."""
+    if not keys:
+        return 64, 1
     p = min(0.5, keys * math.sqrt(0.5) / max(others, 1)) if level == 1 else 0.5
     return max(64, math.ceil(-keys * math.log(p) / math.log(2) ** 2)), max(1, round(-math.log2(p)))
 
