@@ -27,6 +27,8 @@ from quarry.llm.textvec import chunks
 PROFILE = 400
 #: Labelled rows that each language's profile is learnt from, at most.
 PER_LANGUAGE = 2000
+#: Slices that a language's rows are ranked in before they are ranked together.
+SLICES = 256
 #: Most sampled rows whose keys are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -67,8 +69,13 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     """Profiles by language."""
     labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"), held_out(key).alias("h"))
     labelled = labelled.filter("k is not null and t is not null and l is not null and not h")
-    nth = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    sample = labelled.select("k", "l").withColumn("nth", nth).filter(F.col("nth") <= per_language).select("k").distinct()
+    # Ranks inside slices of a language first: a language of most rows then sends few to the last rank.
+    hashed = labelled.select("k", "l", F.xxhash64("k").alias("h")).withColumn("slice", F.pmod("h", F.lit(SLICES)))
+    ranked = hashed
+    for by in (("l", "slice"), ("l",)):
+        nth = F.row_number().over(W.partitionBy(*by).orderBy("h", "k"))
+        ranked = ranked.withColumn("nth", nth).filter(F.col("nth") <= per_language)
+    sample = ranked.select("k").distinct()
     few = sample.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = labelled.select("k", "t", "l").join(F.broadcast(sample) if few else sample, "k", "left_semi").select("l", "t")
 
