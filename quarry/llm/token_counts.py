@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import cut
+
 #: Vocabulary in rank-file form.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the published pattern that splits a text before merges.
@@ -28,7 +30,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts longer than this are encoded in pieces, cut where the pattern always cuts.
 PIECE_CHARS = 200_000
 #: Lengths of a group of the two-level suffix sums.
-GROUP = 4096
+GROUP = 64
 
 _SAFE_CUT = re.compile(r"(?<=[^\s]) ")
 
@@ -122,7 +124,8 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    return suffix_sums(length_counts(docs, text, vocabulary))
+    """The histogram of all texts, each encoded once."""
+    return suffix_sums(cut(length_counts(docs, text, vocabulary)))
 
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
