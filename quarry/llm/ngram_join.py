@@ -201,7 +201,7 @@ def _candidates(index: DataFrame, sizes: DataFrame, num: int, den: int) -> DataF
     by_size = W.partitionBy("key").orderBy("n", "d1")
     chained = left.select("d1", "n", F.lag("d1").over(by_size).alias("d0"), F.lag("n").over(by_size).alias("n0"))
     chains = chained.filter((F.col("n0") * den >= F.col("n") * num) & (F.col("d0") != F.col("d1"))).select(F.col("d1").alias("a"), F.col("d0").alias("b"))
-    pairs = index.filter(F.col("mark") % 4 == PAIR).select("key", "d1")
+    pairs = cut(index.filter(F.col("mark") % 4 == PAIR).select("key", "d1"))
     shared = pairs.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high")
     stars = pairs.join(shared, "key").filter("d1 <> low").select(F.col("d1").alias("a"), F.col("low").alias("b"))
     return chains.unionByName(stars)
