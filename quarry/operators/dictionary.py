@@ -162,3 +162,44 @@ def search_versions(chunks: DataFrame, low: float = 0.5, step: float = 0.05, hig
     cost = F.sum(F.when(inside, F.col("size")).otherwise(F.coalesce("need", F.lit(0))))
     costs = joined.groupBy("image", "threshold").agg(cost.alias("bytes"))
     return costs.groupBy("image").agg(F.min_by(F.struct("threshold", "bytes"), F.struct("bytes", -F.col("threshold"))).alias("x")).select("image", "x.*")
+
+
+def search_images(chunks: DataFrame, least: int = 10, rounds: int = 7, enough: float = 0.2) -> DataFrame:
+    """(round, cluster, digest): dictionaries of clusters of images, one set a round.
+
+    A round clusters the training versions at growing radii and keeps the votes that leave fewest
+    bytes of the test versions uncovered, later radii winning ties; their digests leave both sets.
+    Rounds end when fewer than a share of the images are in clusters.
+    """
+    from quarry.session import cut
+
+    split = cut(split_versions(chunks).select("image", "digest", "size", "part"))
+    train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
+    steps, kept = radii(), []
+    for number in range(1, rounds + 1):
+        images = [r[0] for r in train.select("image").distinct().limit(MOST_IMAGES + 1).collect()]
+        if not images:
+            break
+        if len(images) > MOST_IMAGES:
+            raise ValueError(f"more than {MOST_IMAGES} images: search groups of them apart")
+        near = [(r["a"], r["b"], r["distance"]) for r in distances(train).filter(F.col("distance") <= max(steps)).collect()]
+        clusters, best, least_left, before = Clusters(images, least), None, None, None
+        for radius in steps:
+            labels = dict(clusters.grow(neighbours(near, radius)))
+            if labels != before:
+                before = labels
+                rows = train.sparkSession.createDataFrame(sorted(labels.items()), "image string, cluster bigint")
+                votes = cluster_votes(train, rows).select("cluster", "digest")
+                left = test.join(votes.select("digest").distinct(), "digest", "left_anti").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+                if least_left is None or left <= least_left:
+                    least_left, best = left, votes
+        best = cut(best)
+        if len(clusters.label) < enough * len(images):
+            break
+        kept.append(best.select(F.lit(number).cast("bigint").alias("round"), "cluster", "digest"))
+        gone = best.select("digest").distinct()
+        train, test = cut(train.join(gone, "digest", "left_anti")), cut(test.join(gone, "digest", "left_anti"))
+    out = chunks.sparkSession.createDataFrame([], "round bigint, cluster bigint, digest string")
+    for rows in kept:
+        out = out.unionByName(rows)
+    return out

@@ -81,6 +81,33 @@ def dict_search_versions(spark, sf_dir):
     return dictionary.search_versions(chunks)
 
 
+@query("dict_search_images")
+def dict_search_images(spark, sf_dir):
+    """Dictionaries of clusters of images over line items: the supplier's group is the image, the order its version."""
+    items = model.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("i"), (F.col("l_suppkey") % 30).cast("string")).alias("image"), F.concat(F.lit("v"), (F.col("l_orderkey") % 10).cast("string")).alias("version"),
+        (F.col("l_partkey") % 40).cast("string").alias("digest"), F.lit(1).cast("bigint").alias("size"),
+    )
+    return dictionary.search_images(items.distinct(), least=5)
+
+
+@query("chunk_compress", f"WITH {CHUNKS} SELECT ino, idx, size, true same FROM chunks WHERE ver = 3")
+def chunk_compress(spark, sf_dir):
+    """Chunks through the codec that keeps bytes as they are where compression doesn't help."""
+    chunks = model.chunks(spark, sf_dir).filter("ver = 3").select("ino", "idx", "size", "digest")
+    bodies = model.files(spark, sf_dir).filter("ver = 3").select("ino", F.encode("text", "UTF-8").alias("body"))
+    part = F.expr("substring(body, cast(idx * 4096 + 1 as int), 4096)")
+    packed = chunks.join(bodies, "ino").select("ino", "idx", "size", "digest", scalar.gzip_or_raw(part).alias("packed"))
+    return packed.select("ino", "idx", "size", (F.sha2(scalar.gunzip_or_raw("packed"), 256) == F.col("digest")).alias("same"))
+
+
+@query("build_output_json", f"""WITH {CHUNKS} SELECT '{{"blobs":'||to_json(list_sort(list(DISTINCT image)))||',"chunks":'||count(*)||'}}' json FROM chunks""")
+def build_output_json(spark, sf_dir):
+    """What a build reports: its blobs and chunks."""
+    out = model.chunks(spark, sf_dir).agg(F.array_sort(F.collect_set("image")).alias("blobs"), F.count("*").alias("chunks"))
+    return sinks.as_json(out)
+
+
 @query("dict_completion", f"""WITH {CHUNKS}, d AS (SELECT DISTINCT image, digest, size FROM chunks WHERE digest < '02')
 SELECT image, digest, size FROM d UNION SELECT image, digest, size FROM chunks WHERE image IN (SELECT image FROM d)""")
 def dict_completion(spark, sf_dir):

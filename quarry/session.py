@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -50,3 +50,9 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
