@@ -19,7 +19,7 @@ def greedy_merge(blobs: DataFrame, blob: str, size: str, most: int) -> DataFrame
     rows = blobs.filter(F.col(size) <= most).select(F.col(blob).alias("b"), F.col(size).cast("bigint").alias("s"))
     classed = rows.withColumn("c", F.floor(F.log(F.greatest("s", F.lit(1)).cast("double")) / F.log(F.lit(float(CLASS_FACTOR)))).cast("int"))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         number, total, out = 0, 0, []
         for b, s in frame.sort_values(["s", "b"])[["b", "s"]].itertuples(index=False):
             if total and total + s > most:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators.prefix import running
+
 
 def overlaps(a: Column, a_end: Column, b: Column, b_end: Column) -> Column:
     """Whether two closed ranges meet; ranges that only touch do."""
@@ -153,17 +155,14 @@ def align(size: Column, block: int = 4096) -> Column:
     return (F.ceil(size / block) * block).cast("bigint")
 
 
+#: Inodes of a cell of a blob's running sums.
+CELL = 1 << 16
+
+
 def layout(chunks: DataFrame, blob: str, order: list[str], block: int = 4096) -> DataFrame:
-    """Index and offsets of each chunk of a blob: compressed ones packed, uncompressed ones aligned."""
-    w = W.partitionBy(blob).orderBy(*order)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    return chunks.withColumns(
-        {
-            "index": F.row_number().over(w).cast("bigint") - 1,
-            "comp_offset": F.coalesce(F.sum("comp_size").over(before), F.lit(0)),
-            "uncomp_offset": F.coalesce(F.sum(align(F.col("size"), block)).over(before), F.lit(0)),
-        }
-    )
+    """Index and offsets of each chunk of a blob: compressed ones packed, uncompressed ones aligned. ``order`` begins with a number."""
+    sums = {"comp_offset": F.col("comp_size"), "uncomp_offset": align(F.col("size"), block)}
+    return running(chunks, [blob], F.floor(F.col(order[0]) / CELL), order, sums, index="index")
 
 
 def split_ranges(ranges: DataFrame, size: str, piece: int) -> DataFrame:

@@ -115,7 +115,11 @@ def dict_completion(spark, sf_dir):
     return dictionary.completed(chunks.filter("digest < '02'").select("image", "digest", "size").distinct(), chunks)
 
 
-@query("compact_greedy_merge")
+@query("compact_greedy_merge", f"""WITH RECURSIVE {CHUNKS}, b AS (SELECT image, CAST(sum(comp_size) AS BIGINT) s FROM chunks GROUP BY 1 HAVING sum(comp_size) <= 400000),
+n AS (SELECT image, s, c, row_number() OVER (PARTITION BY c ORDER BY s, image) rn FROM (SELECT *, CAST(floor(ln(greatest(s, 1)) / ln(16)) AS BIGINT) c FROM b)),
+r(image, c, rn, k, "offset", total) AS (SELECT image, c, rn, 0, CAST(0 AS BIGINT), s FROM n WHERE rn = 1 UNION ALL SELECT n.image, n.c, n.rn, r.k + CASE WHEN r.total + n.s > 400000 THEN 1 ELSE 0 END,
+ CASE WHEN r.total + n.s > 400000 THEN 0 ELSE r.total END, n.s + CASE WHEN r.total + n.s > 400000 THEN 0 ELSE r.total END FROM r JOIN n ON n.c = r.c AND n.rn = r.rn + 1)
+SELECT image, c||'-'||k merged, "offset" FROM r""")
 def compact_greedy_merge(spark, sf_dir):
     """Small blobs merged in order of size while a merged blob stays within a bound."""
     from quarry.operators.compaction import greedy_merge
@@ -302,7 +306,10 @@ def chunk_sink_round_trip(spark, sf_dir):
     return spark.read.parquet(path).groupBy("image").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"))
 
 
-@query("token_bucket")
+@query("token_bucket", f"""WITH RECURSIVE {OPERATIONS}, n AS (SELECT ino, seq, ts, bytes, row_number() OVER (PARTITION BY ino ORDER BY ts, seq) rn FROM ops WHERE op='read'),
+r(ino, seq, rn, seen, held, wait) AS (SELECT ino, seq, rn, ts, greatest(20 - bytes, 0), greatest(bytes - 20, 0) / 10.0::DOUBLE FROM n WHERE rn = 1 UNION ALL
+ SELECT n.ino, n.seq, n.rn, n.ts, greatest(least(20, r.held + (n.ts - r.seen) * 10) - n.bytes, 0), greatest(n.bytes - least(20, r.held + (n.ts - r.seen) * 10), 0) / 10.0::DOUBLE FROM r JOIN n ON n.ino = r.ino AND n.rn = r.rn + 1)
+SELECT ino, seq, CAST(wait AS DOUBLE) wait FROM r""")
 def token_bucket(spark, sf_dir):
     reads = model.operations(spark, sf_dir).filter("op = 'read'")
     return state.token_buckets(reads, "ino", "ts", "bytes", "seq", 10)

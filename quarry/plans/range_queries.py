@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry import model
 from quarry.model import CHUNKS, FILES
 from quarry.operators import ranges
+from quarry.operators.prefix import running
 from quarry.plans.catalog import query
 from quarry.sources.backends import ranged
 
@@ -113,7 +114,10 @@ def io_merge_islands(spark, sf_dir):
     return ranges.merged_requests(_io(spark, sf_dir), "image", "a", "b", 4096)
 
 
-@query("io_merge_capped")
+@query("io_merge_capped", f"""WITH RECURSIVE {IO}, n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY a) rn FROM io),
+r(image, rn, s, e, k) AS (SELECT image, rn, a, b, 1 FROM n WHERE rn = 1 UNION ALL SELECT n.image, n.rn, CASE WHEN n.a - r.e <= 4096 AND r.e - r.s < 16384 THEN r.s ELSE n.a END,
+ n.b, CASE WHEN n.a - r.e <= 4096 AND r.e - r.s < 16384 THEN r.k ELSE r.k + 1 END FROM r JOIN n ON n.image = r.image AND n.rn = r.rn + 1)
+SELECT image, min(s) "start", max(e) "end", count(*) chunks FROM r GROUP BY image, k""")
 def io_merge_capped(spark, sf_dir):
     return ranges.capped_requests(_io(spark, sf_dir), "image", "a", "b", 4096, 16_384)
 
@@ -169,7 +173,10 @@ def hole_check_all(spark, sf_dir):
     return ranges.holes(_pieces(spark, sf_dir), "image")
 
 
-@query("batch_pack")
+@query("batch_pack", f"""WITH RECURSIVE {FILES}, n AS (SELECT image, ino, size, row_number() OVER (PARTITION BY image ORDER BY ino) rn FROM files WHERE size < 4096),
+r(image, ino, rn, batch_no, batch_offset, used) AS (SELECT image, ino, rn, CAST(0 AS BIGINT), CAST(0 AS BIGINT), size FROM n WHERE rn = 1 UNION ALL
+ SELECT n.image, n.ino, n.rn, r.batch_no + CASE WHEN r.used + n.size > 8192 THEN 1 ELSE 0 END, CASE WHEN r.used + n.size > 8192 THEN 0 ELSE r.used END, n.size + CASE WHEN r.used + n.size > 8192 THEN 0 ELSE r.used END
+ FROM r JOIN n ON n.image = r.image AND n.rn = r.rn + 1) SELECT image, ino, batch_no, batch_offset FROM r""")
 def batch_pack(spark, sf_dir):
     return ranges.packed(model.files(spark, sf_dir), "image", "ino", 8192)
 
@@ -224,14 +231,12 @@ def dispatch_regions(spark, sf_dir):
 SELECT image, kind, pos, CAST(coalesce(sum((len+4095)//4096) OVER (PARTITION BY image ORDER BY kind, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) block FROM e""")
 def block_export(spark, sf_dir):
     """First block of each extent when metadata and data are flattened to a disk."""
-    from pyspark.sql import Window as W
-
     chunks = model.chunks(spark, sf_dir)
     meta = chunks.groupBy("image").agg((64 * F.count("*")).alias("len")).select("image", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("pos"), "len")
     data = chunks.select("image", F.lit(1).alias("kind"), (F.col("ino") * 1000 + F.col("idx")).alias("pos"), F.col("comp_size").alias("len"))
-    before = W.partitionBy("image").orderBy("kind", "pos").rowsBetween(W.unboundedPreceding, -1)
-    block = F.coalesce(F.sum(ranges.align(F.col("len")) / 4096).over(before), F.lit(0)).cast("bigint")
-    return meta.unionByName(data).select("image", "kind", "pos", block.alias("block"))
+    cell = F.col("kind") * F.lit(1 << 40).cast("bigint") + F.floor(F.col("pos") / (1000 * ranges.CELL))
+    placed = running(meta.unionByName(data), ["image"], cell, ["kind", "pos"], {"block": F.ceil(F.col("len") / 4096).cast("bigint")})
+    return placed.select("image", "kind", "pos", "block")
 
 
 @query("extent_lookup", """WITH x AS (SELECT CAST(p_partkey AS BIGINT) k, p_partkey*10 lo, p_partkey*10 + p_partkey%8 hi, CASE p_partkey%3 WHEN 0 THEN 'meta' ELSE 'data' END kind FROM part),

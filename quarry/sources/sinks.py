@@ -46,7 +46,7 @@ def as_tar(files: DataFrame, group: str) -> DataFrame:
     """
     kind = files.schema[group].dataType.simpleString()
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
         with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
             for path, content in frame.sort_values("path")[["path", "content"]].itertuples(index=False):
