@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.chat_quotes import format_chats
 from quarry.llm.decontamination import contained_items
 from quarry.llm.language_id import language_id
 from quarry.llm.line_dedup import line_dedup
-from quarry.llm.mixing import mix, permute
+from quarry.llm.mixing import mix, permute, word_tokens
 from quarry.llm.ngram_join import ngram_join
 from quarry.llm.quality_rules import RULES as RULES_TABLE
 from quarry.llm.quality_rules import STOP_WORDS, quality_rules
+from quarry.llm.shared import cut
 from quarry.llm.sharding import shard_digest
 from quarry.llm.token_counts import length_histogram
 from quarry.llm.url_filter import BLOCKED, RULES, url_filter
@@ -31,8 +33,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every drawn document in the mixture's blocks; the budget is the corpus's own number of words."""
-    drawn = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), entropy_share=0.97, max_repetition=4.0)
-    return permute(drawn.drop("text"))
+    words = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_tokens().alias("words")))
+    return permute(mix(words, tokens=F.col("words"), entropy_share=0.97, max_repetition=4.0).drop("words"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +135,15 @@ def _quality_sql() -> str:
         bounds = [f"{ratios[r.figure]} < {r.low}"] * (r.low is not None) + [f"{ratios[r.figure]} > {r.high}"] * (r.high is not None)
         tests.append(f"(n_words >= {r.from_words} AND ({' OR '.join(bounds)}))")
     return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') x FROM documents),
-w AS (SELECT doc_id, x, {_WORDS.format("x")} w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) l FROM t),
+w AS (SELECT doc_id, x, {_WORDS.format("x")} w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) l FROM t),
 g AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) i FROM w)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, v) c FROM g) WHERE c > 1),
 cover AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest(range(i, i + 5)) p FROM again) GROUP BY 1),
 f AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) n_symbols,
  CAST(len(l) - len(list_distinct(l)) AS BIGINT) n_dup_lines, coalesce(cover.n, 0) n_repeat_words, len(l) n_lines, len(list_filter(w, lambda z: z IN ({stops}))) stops,
- length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) upper, length(array_to_string(w, '')) - length(regexp_replace(x, '[\p{{L}} 	-]', '', 'g')) letters, greatest(len(w), 1) one
+ length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) upper, length(array_to_string(w, '')) - length(regexp_replace(x, '[\p{{L}} 	-
+]', '', 'g')) letters, greatest(len(w), 1) one
  FROM w LEFT JOIN cover ON cover.doc_id = w.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed,
 NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR {" OR ".join(tests)}) kept FROM f"""
