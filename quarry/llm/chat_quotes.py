@@ -93,19 +93,28 @@ def link_quotes(conversations: DataFrame, conv: str = "conv_id", turn: str = "tu
     while not paths.filter("up is not null").isEmpty():
         above = paths.select("c", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         paths = cut(
-            paths.join(above, ["c", "up"], "left").select("c", "n", F.col("up2").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
+            paths.join(above, ["c", "up"], "left").select(
+                "c", "n", F.col("up2").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")
+            )
         )
     up = paths.select(F.col("c").alias("pc"), F.col("n").alias("pn"), "path")
     placed = messages.join(up, (F.col("c") == F.col("pc")) & (F.col("parent_turn") == F.col("pn")), "left")
-    path = F.when(F.col("n").isNull(), F.array().cast(parsed.select(F.array("n").alias("x")).schema["x"].dataType)).otherwise(F.concat(F.coalesce("path", F.array().cast("array<bigint>")), F.array("n")))
+    none = F.array().cast("array<bigint>")
+    path = F.when(F.col("n").isNull(), none).otherwise(F.concat(F.coalesce("path", none), F.array("n")))
     result = placed.select(
-        "m", F.col("own").alias("own_text"), F.col("n_quotes").cast("bigint").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "parent_turn", path.alias("reply_path")
-    )
+        "m",
+        F.col("own").alias("own_text"),
+        F.col("n_quotes").cast("bigint").alias("n_quotes"),
+        F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
+        "parent_turn",
+        path.alias("reply_path"),
+    )
     result = result.withColumns({"root_turn": F.try_element_at("reply_path", F.lit(1)), "depth": F.greatest(F.size("reply_path") - 1, F.lit(0))})
     return base.join(result, "m").drop("m")
 
 
 def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, turn, role, parent_turn, root_turn, depth, reply_path, n_quotes, n_linked, text): messages without quotes; sorting a conversation by reply_path gives its reply order."""
+    """Messages without quotes, with their place in the conversation; sorting one by reply_path gives its reply order."""
     linked = link_quotes(conversations.select(conv, turn, role, text), conv, turn, text)
-    return linked.select(conv, turn, role, "parent_turn", "root_turn", "depth", "reply_path", "n_quotes", "n_linked", F.col("own_text").alias(text))
+    made = ["parent_turn", "root_turn", "depth", "reply_path", "n_quotes", "n_linked"]
+    return linked.select(conv, turn, role, *made, F.col("own_text").alias(text))
