@@ -44,13 +44,15 @@ def ancestors(path: Column) -> Column:
 
 def hiding_rows(entries: DataFrame) -> DataFrame:
     """(path, layer, exact): what a layer hides below it; ``exact`` hides the path itself too, and every row what is under it."""
-    kind = whiteout_type(base_name(F.col("path")), F.col("layer"))
-    up = parent_of(F.col("path"))
-    named = entries.withColumn("kind", kind)
-    removal = named.filter("kind = 'OciRemoval'").select(F.concat(up, F.lit("/"), origin_name(base_name(F.col("path")))).alias("path"), "layer", F.lit(True).alias("exact"))
-    opaque = named.filter("kind = 'OciOpaque'").select(up.alias("path"), "layer", F.lit(False).alias("exact"))
-    replaced = named.filter("kind is null and not is_dir").select("path", "layer", F.lit(False).alias("exact"))
-    return removal.unionByName(opaque).unionByName(replaced)
+    name, up = base_name(F.col("path")), parent_of(F.col("path"))
+    named = entries.select("path", "layer", "is_dir", whiteout_type(name, F.col("layer")).alias("kind"))
+    hidden = (
+        F.when(F.col("kind") == "OciRemoval", F.concat(up, F.lit("/"), origin_name(name)))
+        .when(F.col("kind") == "OciOpaque", up)
+        .when(F.col("kind").isNull() & ~F.col("is_dir"), F.col("path"))
+    )
+    rows = named.select(hidden.alias("path"), "layer", F.coalesce(F.col("kind") == "OciRemoval", F.lit(False)).alias("exact"))
+    return rows.filter("path is not null")
 
 
 def merge_layers(entries: DataFrame) -> DataFrame:
