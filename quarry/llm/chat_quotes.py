@@ -13,18 +13,20 @@ don't multiply, and paths are made by pointer doubling, so no task holds a conve
 
 Defined cases: a null text has no own text and no quotes; a message whose conversation or turn is
 null starts a thread of its own; messages that repeat a conversation's turn are each linked and
-answer as the one whose text sorts first; a quote of a later message is no link; extra columns are
+answer as the one whose text's hash is least; a quote of a later message is no link; extra columns are
 passed through but for those named like results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.llm.shared import cut
 
@@ -57,36 +59,53 @@ def own_text(passages: list[tuple[int, str]]) -> str:
     return "\n".join(x for x in (p.strip("\n") for level, p in passages if level == 0) if x.strip())
 
 
-def _parsed(conversations: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
-    """A row a message: conv, turn, own text, quotes (level, place, passage) and what it can be quoted by."""
+def digest(passage: str) -> dict[str, int]:
+    """128 bits of a normalised passage."""
+    data = hashlib.blake2b(passage.encode(), digest_size=16).digest()
+    return {"h1": int.from_bytes(data[:8], "little", signed=True), "h2": int.from_bytes(data[8:], "little", signed=True)}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+
+_DIGEST = [("h1", pa.int64()), ("h2", pa.int64())]
+_QUOTE = [("level", pa.int32()), ("place", pa.int32()), *_DIGEST]
+_FIELDS = "own_text string, __quotes array<struct<level:int,place:int,h1:bigint,h2:bigint>>, __held array<struct<h1:bigint,h2:bigint>>"
+
+
+def _parsed(messages: DataFrame, text: str) -> DataFrame:
+    """``messages`` with own_text, the digests of its quotes by level and place, and of what it can be quoted by."""
+    place = messages.columns.index(text)
+    names = [*messages.columns, "own_text", "__quotes", "__held"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             own, quotes, held = [], [], []
-            for value in frame["t"]:
+            for value in batch.column(place).to_pylist():
                 passages = parse(value)
                 mine = own_text(passages)
                 own.append(None if value is None else mine)
-                quotes.append([{"level": n, "place": i, "passage": normalised(p)} for i, (n, p) in enumerate(passages) if n and normalised(p)])
-                held.append(sorted({x for x in map(normalised, [mine, *re.split(r"\n\s*\n", mine), *mine.split("\n")]) if x}))
-            yield pd.DataFrame({"m": frame["m"], "own": own, "quotes": quotes, "held": held})
+                plain = [(n, i, normalised(p)) for i, (n, p) in enumerate(passages) if n]
+                quotes.append([{"level": n, "place": i, **digest(p)} for n, i, p in plain if p])
+                parts = {normalised(x) for x in (mine, *re.split(r"\n\s*\n", mine), *mine.split("\n"))}
+                held.append([digest(x) for x in sorted(parts) if x])
+            made = [pa.array(own, pa.string()), pa.array(quotes, pa.list_(pa.struct(_QUOTE))), pa.array(held, pa.list_(pa.struct(_DIGEST)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
 
-    fields = "m bigint, own string, quotes array<struct<level:int,place:int,passage:string>>, held array<string>"
-    return conversations.select("m", F.col(text).alias("t")).mapInPandas(run, fields)
+    more = StructType.fromDDL(_FIELDS)
+    return messages.mapInArrow(run, StructType([*messages.schema.fields, *more.fields]))
 
 
 def link_quotes(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """Every message with own_text, n_quotes, n_linked, parent_turn, root_turn, depth and reply_path (turns from the root)."""
     made = ["own_text", "n_quotes", "n_linked", "parent_turn", "root_turn", "depth", "reply_path"]
-    base = cut(conversations.drop(*made).withColumn("m", F.monotonically_increasing_id()))
-    parsed = cut(_parsed(base, conv, turn, text).join(base.select("m", F.col(conv).alias("c"), F.col(turn).alias("n")), "m"))
-    digest = lambda x: [F.xxhash64(x, F.lit(1)).alias("h1"), F.xxhash64(x, F.lit(2)).alias("h2")]
-    named = parsed.filter("c is not null and n is not null")
-    origins = named.select("c", "n", F.explode("held").alias("p")).select("c", "n", *digest("p")).groupBy("c", "h1", "h2").agg(F.min("n").alias("origin"))
-    quotes = named.select("m", "c", "n", F.explode("quotes").alias("q")).select("m", "c", "n", "q.level", "q.place", *digest("q.passage"))
+    base = conversations.drop(*made)
+    parsed = cut(_parsed(base, text).withColumn("__m", F.monotonically_increasing_id()))
+    # Only digests and keys are brought together; texts move once, when the places are joined back.
+    narrow = parsed.select(F.col("__m").alias("m"), F.col(conv).cast("bigint").alias("c"), F.col(turn).cast("bigint").alias("n"), F.xxhash64("own_text").alias("own"), "__quotes", "__held")
+    named = narrow.filter("c is not null and n is not null")
+    origins = named.select("c", "n", F.explode("__held").alias("p")).groupBy("c", "p.h1", "p.h2").agg(F.min("n").alias("origin"))
+    quotes = named.select("m", "c", "n", F.explode("__quotes").alias("q")).select("m", "c", "n", "q.level", "q.place", "q.h1", "q.h2")
     linked = quotes.join(origins, ["c", "h1", "h2"]).filter("origin < n")
     parents = linked.groupBy("m").agg(F.min_by("origin", F.struct("level", "place")).alias("parent_turn"), F.count("*").alias("n_linked"))
-    messages = parsed.select("m", "c", "n", "own", F.size("quotes").alias("n_quotes")).join(parents, "m", "left")
+    messages = narrow.select("m", "c", "n", "own", F.size("__quotes").cast("bigint").alias("n_quotes")).join(parents, "m", "left")
     # One node a turn; pointers double until every path begins at a root.
     nodes = messages.filter("c is not null and n is not null").groupBy("c", "n").agg(F.min_by("parent_turn", F.struct("own", "m")).alias("up"))
     paths = cut(nodes.select("c", "n", "up", F.array("n").alias("path")))
@@ -101,16 +120,10 @@ def link_quotes(conversations: DataFrame, conv: str = "conv_id", turn: str = "tu
     placed = messages.join(up, (F.col("c") == F.col("pc")) & (F.col("parent_turn") == F.col("pn")), "left")
     none = F.array().cast("array<bigint>")
     path = F.when(F.col("n").isNull(), none).otherwise(F.concat(F.coalesce("path", none), F.array("n")))
-    result = placed.select(
-        "m",
-        F.col("own").alias("own_text"),
-        F.col("n_quotes").cast("bigint").alias("n_quotes"),
-        F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
-        "parent_turn",
-        path.alias("reply_path"),
-    )
+    links = F.coalesce("n_linked", F.lit(0).cast("bigint")).alias("n_linked")
+    result = placed.select(F.col("m").alias("__m"), "n_quotes", links, "parent_turn", path.alias("reply_path"))
     result = result.withColumns({"root_turn": F.try_element_at("reply_path", F.lit(1)), "depth": F.greatest(F.size("reply_path") - 1, F.lit(0))})
-    return base.join(result, "m").drop("m")
+    return parsed.select("__m", *base.columns, "own_text").join(result, "__m").drop("__m")
 
 
 def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
