@@ -43,14 +43,14 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import connected_components, cut
 from quarry.llm.textvec import fingerprint, mix, shingle_sets
 
-#: Tokens that lossy counting holds at once (32 MB).
-BUFFER = 1 << 22
+#: Tokens that lossy counting holds at once (16 MB).
+BUFFER = 1 << 21
 #: Times that a token recurs in a buffer to be counted, and counted in all to be frequent, at least.
 LOCAL_MIN, GLOBAL_MIN = 4, 64
 #: Frequent tokens, at most.
 FREQUENT = 1 << 19
 #: Tokens of the sets that meet in a task, at most, but for a single larger set.
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 1_000_000
 #: Rows of classes and tasks that are broadcast to fetch their texts (about 60 bytes each), at most.
 BROADCAST_CLASSES = 300_000
 
