@@ -60,6 +60,12 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
+def assured(n: int, num: int, den: int, extra: float) -> int:
+    """How many of the first shared tokens of any link the extended prefix of a set of n tokens holds; never less for a larger n."""
+    t = least_overlap(n, num, den)
+    return min(1 + -int(-(n - t + 1) * extra // 1), t)
+
+
 def _summaries(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """Rows (kind 0, key, n, d1, d2) of documents and (kind 1, null, count, token, 0) of tokens that recur in a buffer."""
 
@@ -126,8 +132,7 @@ def index_rows(tokens: np.ndarray, frequent: np.ndarray, classes: np.ndarray, nu
         return none
     t = least_overlap(n, num, den)
     first = n - t + 1
-    k = min(1 + -int(-first * extra // 1), t)
-    reach = n - t + k
+    reach = n - t + assured(n, num, den, extra)
     rare, common = tokens, tokens[:0]
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -137,7 +142,8 @@ def index_rows(tokens: np.ndarray, frequent: np.ndarray, classes: np.ndarray, nu
             common = common[np.argsort(classes[at[often]], kind="stable")]
     head = rare[:reach]
     kinds = np.where(np.arange(len(head)) < first, SINGLE, EXTENDED).astype(np.int32)
-    need = k - (reach - len(head))
+    # A link's first shared tokens are in both prefixes, as many as the smaller one assures: t is the least size that links.
+    need = min(assured(t, num, den, extra), len(rare) - (n - t))
     if len(rare) >= first:
         return head, kinds, need
     ranked = np.concatenate([rare, common])[: first + 1]

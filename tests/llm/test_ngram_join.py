@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm import ngram_join as J
@@ -83,3 +84,35 @@ def test_one_document_of_each_component_stays(spark):
     expected = {i for i, (_, c) in brute(rows, 5, 4, 5).items() if i == c}
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(x for x in ids if x is not None) == sorted(expected) and ids.count(None) == 1
+
+
+def test_small_sets_link_with_larger_ones(spark):
+    """Sets of 9 and 10 shingles at 9/10: the smaller prefix holds fewer tokens than the larger."""
+    rows = []
+    for i in range(12):
+        words = [f"p{i}w{j}" for j in range(11)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join([*words, "end"] if i % 2 else ["start", *words]))]
+    expected = brute(rows, 3, 90, 100)
+    assert all(expected[10 * i + 1] == (10, 10 * i) for i in range(12))
+    assert run(spark, rows, k=3, num=90, den=100, extra=1.0) == expected
+
+
+@pytest.mark.parametrize("num, den, extra", [(90, 100, 1.0), (4, 5, 0.5), (1, 2, 0.5), (1, 10, 0.0), (2, 3, 2.0)])
+def test_prefixes_of_links_share_what_both_need(num, den, extra):
+    rng = random.Random(8)
+    none = np.zeros(0, dtype=np.uint64)
+    links = 0
+    for _ in range(4000):
+        n = rng.randrange(1, 60)
+        both = [rng.getrandbits(64) for _ in range(n)]
+        more = [[rng.getrandbits(64) for _ in range(rng.randrange(0, max(2, n * (den - num) // num + 2)))] for _ in range(2)]
+        a, b = (sorted({*both, *x}) for x in more)
+        if a == b or n * den < (len(a) + len(b) - n) * num:
+            continue
+        links += 1
+        often = np.array(sorted(rng.sample(both, rng.randrange(0, n + 1))), dtype=np.uint64) if rng.random() < 0.5 else none
+        classes = np.ones(len(often), dtype=np.int64)
+        found = [J.index_rows(np.array(x, dtype=np.uint64), often, classes, num, den, extra) for x in (a, b)]
+        rare = [set(keys[kinds < J.PAIR].tolist()) for keys, kinds, _ in found]
+        assert len(rare[0] & rare[1]) >= max(need for _, _, need in found)
+    assert links > 100
