@@ -4,13 +4,14 @@ A document is its sequence of lines that have a word. A gram is the shortest run
 line on with ``GRAM_WORDS`` words; a window is the shortest run from a line on with ``RUN_WORDS``
 words. The gram of least hash inside each window is a fingerprint of the document, so any two runs
 of RUN_WORDS words that are equal line by line have a fingerprint in common at the same place in
-both. Each fingerprint is matched with its first place by (document, line); the match is extended
-line by line both ways in both documents, and the run is deleted where it reaches RUN_WORDS words.
-The first place of a run is never deleted.
+both. Where a fingerprint recurs, the windows around it, the shortest runs of RUN_WORDS words that
+begin or end at a line, are compared with all others by digests of 128 bits; a run that is at an
+earlier place by (document, line) is deleted. Any equal runs of RUN_WORDS words are made of such
+windows, so a later run goes whole, whichever documents hold parts of it before.
+The first place of a window is never the one deleted.
 
-Fingerprints of a value are reduced to the first place before they are shuffled, so a line that
-half of all documents hold costs one row a document; matches are merged to a pair of documents, and
-only line hashes, not texts, are brought together.
+Fingerprints and windows are reduced to their first places before they are shuffled, so a line that
+half of all documents hold costs one row a document and window; only digests, not texts, are brought together.
 
 Defined cases: null and empty texts have no lines and stay as they are; a row with a null key stays
 as it is, since nothing orders it; rows that repeat a key have their own places by the hash of
@@ -21,6 +22,7 @@ by their words; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -93,53 +95,44 @@ def _scan(docs: DataFrame, key: str, text: str, run_words: int, gram_words: int)
     return rows.mapInArrow(run, fields)
 
 
-def extend(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
-    """Lines before and from i on that equal those around j in b."""
-    n = min(i, j)
-    differ = np.flatnonzero(a[i - n : i][::-1] != b[j - n : j][::-1])
-    before = int(differ[0]) if len(differ) else n
-    n = min(len(a) - i, len(b) - j)
-    differ = np.flatnonzero(a[i : i + n] != b[j : j + n])
-    return before, int(differ[0]) if len(differ) else n
+def windows(counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line after) of the shortest runs of ``run`` words that begin at a line or end at one: they cover any run of as many words."""
+    n = len(counts)
+    total = np.r_[0, np.cumsum(counts)]
+    stops = np.searchsorted(total, total[:-1] + run)
+    starts = np.flatnonzero(stops <= n)
+    more = np.maximum(np.minimum(np.r_[stops[1:], n + 1], n + 1)[starts] - stops[starts], 1)
+    step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    return np.repeat(starts, more), np.repeat(stops[starts], more) + step
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """(id, d, lines): places, among all lines of the text, of the lines to delete, for each document that has any."""
     scanned = cut(_scan(docs, key, text, run_words, gram_words).dropDuplicates(["id", "d"]))
     prints = scanned.select("id", "d", F.explode(F.arrays_zip("prints", "at")).alias("x")).select("id", "d", F.col("x.prints").alias("print"), F.col("x.at").alias("at"))
-    places = prints.groupBy("print").agg(F.min(F.struct("id", "d", "at")).alias("one"), F.count("*").alias("n")).filter("n > 1")
-    pairs = (
-        prints.join(places, "print")
-        .filter("struct(id, d, at) <> one")
-        .groupBy("id", "d", F.col("one.id").alias("one_id"), F.col("one.d").alias("one_d"))
-        .agg(F.collect_set(F.struct("at", F.col("one.at").alias("one_at"))).alias("matches"))  # at most a match a line
-    )
-    own = scanned.select("id", "d", "hashes", "counts", "places")
-    other = scanned.select(F.col("id").alias("one_id"), F.col("d").alias("one_d"), F.col("hashes").alias("one_hashes"))
-    met = pairs.join(other, ["one_id", "one_d"]).join(own, ["id", "d"])
+    often = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    shared = prints.join(often, "print").groupBy("id", "d").agg(F.collect_set("at").alias("shared"))  # at most a place a line
+    met = shared.join(scanned.select("id", "d", "hashes", "counts", "places"), ["id", "d"]).select("id", "d", "hashes", "counts", "places", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ds, out = [], [], []
             for r in range(batch.num_rows):
-                a, b = (batch.column(c)[r].values.to_numpy() for c in (2, 3))
-                counts, places = (batch.column(c)[r].values.to_numpy() for c in (4, 5))
-                total = np.r_[0, np.cumsum(counts)]
-                gone = np.zeros(len(a), dtype=bool)
-                for m in batch.column(6)[r].as_py():
-                    before, after = extend(a, m["at"], b, m["one_at"])
-                    low, high = m["at"] - before, m["at"] + after
-                    if total[high] - total[low] >= run_words:
-                        gone[low:high] = True
-                if gone.any():
-                    ids.append(batch.column(0)[r].as_py())
-                    ds.append(batch.column(1)[r].as_py())
-                    out.append(places[gone])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(ds, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["id", "d", "lines"])
+                hashes, counts, places, at = (batch.column(c)[r].values.to_numpy() for c in (2, 3, 4, 5))
+                low, high = windows(counts, run_words)
+                at = np.sort(at)
+                holds = np.searchsorted(at, low) < np.searchsorted(at, high)
+                low, high = low[holds], high[holds]
+                m = len(low)
+                digests = [blake2b(hashes[i:j].tobytes(), digest_size=16).digest() for i, j in zip(low, high)]
+                columns = [pa.repeat(batch.column(0)[r], m), pa.repeat(batch.column(1)[r], m), pa.array(digests, pa.binary()), pa.array(low, pa.int32())]
+                lines = pa.array([places[i:j] for i, j in zip(low, high)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*columns, lines], names=["id", "d", "w", "at", "lines"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = met.select("id", "d", "hashes", "one_hashes", "counts", "places", "matches").mapInArrow(run, f"id {kind}, d bigint, lines array<int>")
-    return found.groupBy("id", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    held = cut(met.mapInArrow(run, f"id {kind}, d bigint, w binary, at int, lines array<int>"))
+    first = held.groupBy("w").agg(F.min(F.struct("id", "d", "at")).alias("one"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = held.join(first, "w").filter("struct(id, d, at) <> one")
+    return later.groupBy("id", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quarry.llm.line_dedup import fingerprints, line_dedup
 from quarry.llm import line_dedup as L
 
@@ -105,3 +107,26 @@ def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     out = line_dedup(d)
     assert out.columns == ["doc_id", "text", "n_lines", "removed_lines"] and out.collect() == []
+
+
+def test_passages_go_though_an_earlier_document_holds_a_part(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    rows = []
+    for i in range(0, 90, 3):
+        one, two = line(), line()
+        rows += [(i, f"{one}\n{line()}"), (i + 1, f"{one}\n{two}"), (i + 2, f"{one}\n{two}")]
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: [0, 1] if i % 3 == 2 else [] for i, _ in rows}
+
+
+def test_windows_cover_every_run():
+    rng = random.Random(6)
+    for _ in range(300):
+        counts = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 14))]
+        found = list(zip(*(x.tolist() for x in L.windows(np.array(counts), 50))))
+        assert all(sum(counts[i:j]) >= 50 for i, j in found)
+        for a in range(len(counts)):
+            for b in range(a + 1, len(counts) + 1):
+                if sum(counts[a:b]) >= 50:
+                    assert {x for i, j in found if a <= i and j <= b for x in range(i, j)} == set(range(a, b))
