@@ -2,7 +2,9 @@
 
 A message's lines carry quote levels, the number of ``>`` marks they begin with. Lines of one level
 in a row make a passage; level 0 is the message's own text. A passage is normalised (marks and
-extra blanks gone, lower case) and hashed, and so are each message's own text and its paragraphs.
+extra blanks gone, lower case) and hashed, and so is what each message can be quoted by: any of its
+own lines in a row. The whole, paragraphs and single lines are hashed at once; other runs of lines
+where they have as many words as a quote of the conversation, so few lengths are tried.
 A passage links to the earliest message of its conversation that holds it and comes before; the
 deepest-nested quotes are older, so the parent of a message is the origin of its first linked
 passage of the lowest level. Messages are then ordered by the path of turns from their thread's
@@ -21,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,8 +70,8 @@ def digest(passage: str) -> dict[str, int]:
 
 
 _DIGEST = [("h1", pa.int64()), ("h2", pa.int64())]
-_QUOTE = [("level", pa.int32()), ("place", pa.int32()), *_DIGEST]
-_FIELDS = "own_text string, __quotes array<struct<level:int,place:int,h1:bigint,h2:bigint>>, __held array<struct<h1:bigint,h2:bigint>>"
+_QUOTE = [("level", pa.int32()), ("place", pa.int32()), ("words", pa.int32()), *_DIGEST]
+_FIELDS = "own_text string, __quotes array<struct<level:int,place:int,words:int,h1:bigint,h2:bigint>>, __held array<struct<h1:bigint,h2:bigint>>"
 
 
 def _parsed(messages: DataFrame, text: str) -> DataFrame:
@@ -83,7 +87,7 @@ def _parsed(messages: DataFrame, text: str) -> DataFrame:
                 mine = own_text(passages)
                 own.append(None if value is None else mine)
                 plain = [(n, i, normalised(p)) for i, (n, p) in enumerate(passages) if n]
-                quotes.append([{"level": n, "place": i, **digest(p)} for n, i, p in plain if p])
+                quotes.append([{"level": n, "place": i, "words": len(p.split(" ")), **digest(p)} for n, i, p in plain if p])
                 parts = {normalised(x) for x in (mine, *re.split(r"\n\s*\n", mine), *mine.split("\n"))}
                 held.append([digest(x) for x in sorted(parts) if x])
             made = [pa.array(own, pa.string()), pa.array(quotes, pa.list_(pa.struct(_QUOTE))), pa.array(held, pa.list_(pa.struct(_DIGEST)))]
@@ -93,6 +97,33 @@ def _parsed(messages: DataFrame, text: str) -> DataFrame:
     return messages.mapInArrow(run, StructType([*messages.schema.fields, *more.fields]))
 
 
+def runs(own: str, words: set[int]) -> set[str]:
+    """Normalised lines in a row of a message's own text, of as many words as ``words`` has."""
+    lines = [x for x in map(normalised, own.split("\n")) if x]
+    total = list(accumulate((len(x.split(" ")) for x in lines), initial=0))
+    place = {n: i for i, n in enumerate(total)}
+    lengths = sorted(words)
+    found = set()
+    for i, n in enumerate(total[:-1]):
+        for w in lengths[: bisect_right(lengths, total[-1] - n)]:
+            if n + w in place:
+                found.add(" ".join(lines[i : place[n + w]]))
+    return found
+
+
+def _runs(messages: DataFrame) -> DataFrame:
+    """(c, n, h1, h2) of the runs of lines of ``messages`` (c, n, own_text, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, n, own, words in zip(*(x.to_pylist() for x in batch.columns)):
+                found = [digest(x) for x in sorted(runs(own, set(words)))]
+                columns = [pa.array([c] * len(found), pa.int64()), pa.array([n] * len(found), pa.int64()), *(pa.array([x[h] for x in found], pa.int64()) for h in ("h1", "h2"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["c", "n", "h1", "h2"])
+
+    return messages.mapInArrow(run, "c bigint, n bigint, h1 bigint, h2 bigint")
+
+
 def link_quotes(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """Every message with own_text, n_quotes, n_linked, parent_turn, root_turn, depth and reply_path (turns from the root)."""
     made = ["own_text", "n_quotes", "n_linked", "parent_turn", "root_turn", "depth", "reply_path"]
@@ -101,8 +132,12 @@ def link_quotes(conversations: DataFrame, conv: str = "conv_id", turn: str = "tu
     # Only digests and keys are brought together; texts move once, when the places are joined back.
     narrow = parsed.select(F.col("__m").alias("m"), F.col(conv).cast("bigint").alias("c"), F.col(turn).cast("bigint").alias("n"), F.xxhash64("own_text").alias("own"), "__quotes", "__held")
     named = narrow.filter("c is not null and n is not null")
-    origins = named.select("c", "n", F.explode("__held").alias("p")).groupBy("c", "p.h1", "p.h2").agg(F.min("n").alias("origin"))
-    quotes = named.select("m", "c", "n", F.explode("__quotes").alias("q")).select("m", "c", "n", "q.level", "q.place", "q.h1", "q.h2")
+    quotes = named.select("m", "c", "n", F.explode("__quotes").alias("q")).select("m", "c", "n", "q.level", "q.place", "q.words", "q.h1", "q.h2")
+    # A message of two lines is held whole and by its lines; of longer ones of conversations with quotes, the texts move too.
+    lengths = quotes.groupBy("c").agg(F.collect_set("words").alias("words"))
+    longer = parsed.select(F.col(conv).cast("bigint").alias("c"), F.col(turn).cast("bigint").alias("n"), "own_text").filter("n is not null and size(split(own_text, '\\n')) > 2")
+    held = named.select("c", "n", F.explode("__held").alias("p")).select("c", "n", "p.h1", "p.h2").unionByName(_runs(longer.join(lengths, "c")))
+    origins = held.groupBy("c", "h1", "h2").agg(F.min("n").alias("origin"))
     linked = quotes.join(origins, ["c", "h1", "h2"]).filter("origin < n")
     parents = linked.groupBy("m").agg(F.min_by("origin", F.struct("level", "place")).alias("parent_turn"), F.count("*").alias("n_linked"))
     messages = narrow.select("m", "c", "n", "own", F.size("__quotes").cast("bigint").alias("n_quotes")).join(parents, "m", "left")

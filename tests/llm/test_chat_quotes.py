@@ -1,4 +1,4 @@
-from quarry.llm.chat_quotes import format_chats, link_quotes, normalised, parse
+from quarry.llm.chat_quotes import format_chats, link_quotes, normalised, parse, runs
 
 FIELDS = "conv_id bigint, turn bigint, role string, text string, depth string"
 
@@ -34,3 +34,17 @@ def test_long_chains_and_hot_conversations(spark):
     assert next(r for r in got if r["conv_id"] == 1 and r["turn"] == 69)["reply_path"] == list(range(70))
     assert next(r for r in got if r["turn"] == 500)["parent_turn"] == 0
     assert link_quotes(spark.createDataFrame(rows, FIELDS).limit(0)).collect() == []
+
+
+def test_quotes_of_some_lines_link_to_the_earliest_message_that_holds_them(spark):
+    whole = "First part\nin two lines.\n\nSecond  part.\n\nThird part,\nwith three\nlines."
+    texts = [
+        "hello", whole, whole, "> First part\n> in two lines.\n>\n> Second part.\nyes", "> Third part,\n> with three\nno", "> Second part.\n>\n> Third part,\n> with three\n> lines.\nwhy",
+        "> in two lines.\n> Third part,\nnot in a row", "> hello\nA block\nof lines\n> First part\nAnother one\nof two", "> Another one\n> of two\nok", "> A block\n> of lines\nok", "> part\n> in two\nnot whole lines",
+    ]
+    got = link_quotes(spark.createDataFrame([(1, i, "u", t, "x") for i, t in enumerate(texts)], FIELDS)).collect()
+    assert {r["turn"]: r["parent_turn"] for r in got} == {0: None, 1: None, 2: None, 3: 1, 4: 1, 5: 1, 6: None, 7: 0, 8: 7, 9: 7, 10: None}
+
+
+def test_runs_are_of_whole_lines():
+    assert runs("a b\n\nC\nd e", {1, 3, 9}) == {"c", "a b c", "c d e"} and runs("", {1}) == set()
