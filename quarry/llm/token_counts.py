@@ -5,8 +5,11 @@ a task. A row of the result is a length that occurs, with the documents and toke
 of all lengths from it on, and the total that stays when every document is cut to that length. A
 limit between two lengths is answered by the next row: see ``truncated_totals``.
 
-Defined cases: null and empty texts have no tokens and count as documents of length 0; other
-columns aren't read; repeated rows count each; an empty table gives an empty histogram.
+Defined cases: null and empty texts have no tokens and count as documents of length 0; texts of any
+length are encoded whole, long ones in pieces that encode alike, runs of blanks of any length too;
+other columns aren't read, whatever their names; repeated rows and equal lengths count each; an empty
+table gives an empty histogram. The sums over groups of lengths run in one task: it has as many rows
+as the longest text has tokens, by ``GROUP``, however many documents there are.
 """
 
 from __future__ import annotations
@@ -29,14 +32,19 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts longer than this are encoded in pieces, cut where the pattern always cuts.
 PIECE_CHARS = 200_000
+#: Blanks in a row from this many on are encoded apart, as the pattern's look-ahead would go back over each of them.
+GAP_CHARS = 4096
 #: Lengths of a group of the two-level suffix sums.
 GROUP = 64
+#: The characters that the pattern takes as blanks (the Unicode property White_Space).
+BLANKS = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-_SAFE_CUT = re.compile(r"(?<=[^\s]) ")
+_SAFE_CUT = re.compile(rf"[{BLANKS}](?=[^{BLANKS}])")
+_LONG_GAP = re.compile(rf"[{BLANKS}]{{{GAP_CHARS},}}")
 
 
 def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
-    """Parts of a text that encode apart as they do together: a space after another character always begins a word."""
+    """Parts of a text that encode apart as they do together: the last blank before another character always begins a new match."""
     at = 0
     while len(text) - at > most:
         found = _SAFE_CUT.search(text, at + most)
@@ -47,6 +55,24 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def parts(text: str) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is one long run of blanks) of a text: the pattern takes such a run whole, but for its last blank where more follows."""
+    at = 0
+    for gap in _LONG_GAP.finditer(text):
+        end = gap.end() - (gap.end() < len(text))
+        if gap.start() > at:
+            yield from ((p, False) for p in pieces(text[at : gap.start()]))
+        yield text[gap.start() : end], True
+        at = end
+    if at < len(text):
+        yield from ((p, False) for p in pieces(text[at:]))
+
+
+def n_tokens(text: str | None, encoder) -> int:
+    """Tokens of a whole text of any length."""
+    return sum(len(encoder._encode_single_piece(p) if gap else encoder.encode_ordinary(p)) for p, gap in parts(text or ""))
+
+
 def _encoder(vocabulary: bytes):
     import tiktoken
 
@@ -55,9 +81,7 @@ def _encoder(vocabulary: bytes):
 
 
 def _lengths(column: pa.Array, encoder) -> np.ndarray:
-    return np.fromiter(
-        (0 if not t else sum(len(encoder.encode_ordinary(p)) for p in pieces(t)) for t in (x.as_py() for x in column)), dtype=np.int64, count=len(column)
-    )
+    return np.fromiter((n_tokens(x.as_py(), encoder) for x in column), dtype=np.int64, count=len(column))
 
 
 def _vocabulary(docs: DataFrame, path: str):

@@ -40,3 +40,26 @@ def test_lengths_of_null_and_empty_columns_and_tables(spark):
     encoder = T._encoder(open(T.VOCABULARY, "rb").read())
     assert T._lengths(pa.array([None, "", " "], pa.string()), encoder).tolist()[:2] == [0, 0]
     assert T.length_histogram(spark.createDataFrame([], "text string")).collect() == []
+
+
+def test_long_runs_of_blanks_encode_as_the_whole(monkeypatch):
+    encoder = T._encoder(open(T.VOCABULARY, "rb").read())
+    monkeypatch.setattr(T, "_LONG_GAP", T.re.compile(rf"[{T.BLANKS}]{{5,}}"))
+    rng = random.Random(3)
+    for _ in range(60):
+        gap = lambda: "".join(rng.choice(" \n\t\r\x0b\x85\xa0 　") for _ in range(rng.choice([1, 2, 4, 5, 6, 40])))
+        text = "".join(rng.choice([gap(), "word", "12", "漢字", "'s", "!?", "\x1c"]) for _ in range(60))
+        assert T.n_tokens(text, encoder) == len(encoder.encode_ordinary(text))
+        assert "".join(p for p, _ in T.parts(text)) == text
+
+
+def test_texts_of_ten_megabytes_without_a_word_boundary():
+    encoder = T._encoder(open(T.VOCABULARY, "rb").read())
+    for one in (" ", "\n", "　"):
+        n = 10_000_000 // len(one.encode())
+        each = len(encoder.encode_ordinary(one * 1000)) / 1000
+        assert abs(T.n_tokens(one * n, encoder) - each * n) <= each
+        assert T.n_tokens("a" + one * n + "b", encoder) == 1 + T.n_tokens(one * (n - 1), encoder) + len(encoder.encode_ordinary(one + "b"))
+    for one in ("a", "漢"):
+        text = one * (10_000_000 // len(one.encode()))
+        assert T.n_tokens(text, encoder) == len(encoder.encode_ordinary(text))
