@@ -297,11 +297,9 @@ def stats_json(spark, sf_dir):
 @query("chunk_sink_round_trip", f"WITH {CHUNKS} SELECT image, count(*) chunks, CAST(sum(size) AS BIGINT) bytes FROM chunks GROUP BY 1")
 def chunk_sink_round_trip(spark, sf_dir):
     """Chunk tables written to the shared folder and read back."""
-    import uuid
+    from quarry.session import scratch
 
-    from quarry.session import shared_folder
-
-    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    path = scratch(spark, "chunks")
     sinks.write_chunks(model.chunks(spark, sf_dir), path)
     return spark.read.parquet(path).groupBy("image").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"))
 

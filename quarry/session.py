@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,17 +43,37 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; one of this machine where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where none is set, one of this machine serves a local master, as in tests; a cluster without
+    a shared folder is an error.
+    """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-        folder = context._jsc.sc().getCheckpointDir().get()
-    return folder
+    if not folder and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+    return folder or context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a path."""
+    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there."""
+    """Write ``df`` to the shared folder and go on from there, so a lost executor costs one read."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
