@@ -14,18 +14,23 @@ pair of tokens heads both documents.
    The same pass counts frequent tokens by lossy counting: tokens that recur in a buffer of
    ``BUFFER`` tokens are summed, and those of a share above 2**-19 of all tokens, at most 2**19 of
    them, make the frequent classes. They steer the order only; any order gives the same links.
+   How many sets hold a token that is not frequent is bounded by 2**-18 of all tokens and a few a task.
 2. Extended prefixes (longer than the prefix by its share ``extra``) drop the sets that can't link.
-   Keys that two or more of the rest share make star edges to the smallest class of the key, and
-   their connected components are the groups of classes that can link.
+   Keys that two or more of the rest share make edges, and their connected components are the
+   groups of classes that can link. Sets go by 64 bits of their digest here, which saves a third
+   of the shuffle; sets that agree in these and differ otherwise are found by an aggregation and
+   kept apart from there on, so a clash of hashes loses no link.
 3. The sets of a group meet in one task, each shipped once, where links are verified exactly and
    merged. A group of more than ``GROUP_TOKENS`` is cut by size and hash into pieces below that;
    pairs of pieces whose sizes can link meet in tasks of their own, and the pieces' links are
    merged by connected components again.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing;
-fewer words than k make one shingle of the whole sequence; rows with a null key are returned with
-their size, and their component is that of their equals, null if those have no key either;
-repeated rows link with each other; an empty table gives an empty result.
+fewer words than k make one shingle of the whole sequence; a text of any length is taken whole; keys
+of any type that has an order will do, also under a name like the results' inner ones; rows with a null
+key are returned with their size, and their component is that of their equals, null if those have no
+key either; repeated rows link with each other, and rows of one key with different texts are judged
+by text; other columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,6 +58,8 @@ FREQUENT = 1 << 19
 GROUP_TOKENS = 1_000_000
 #: Rows of classes and tasks that are broadcast to fetch their texts (about 60 bytes each), at most.
 BROADCAST_CLASSES = 300_000
+#: Keys of rows to remove that are broadcast, at most (about 100 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -162,18 +169,18 @@ def _index(docs: DataFrame, text: str, k: int, num: int, den: int, extra: float,
     held = docs.sparkSession.sparkContext.broadcast((frequent, classes))  # at most FREQUENT entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             keys, owners, marks = [], [], []
             for _, tokens in shingle_sets(batch.column(0), k):
                 if len(tokens):
-                    digest = fingerprint(tokens)[0]
+                    digest = fingerprint(tokens)
                     if digest not in seen:
                         seen.add(digest)
                         some, kind, need = index_rows(tokens, *held.value, num, den, extra)
                         keys.append(some)
                         marks.append(kind + np.int32(4 * max(need, 0)))
-                        owners.append(np.full(len(some), digest, dtype=np.int64))
+                        owners.append(np.full(len(some), digest[0], dtype=np.int64))
             if keys:
                 columns = [pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (owners, marks)]]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "d1", "mark"])
@@ -184,7 +191,7 @@ def _index(docs: DataFrame, text: str, k: int, num: int, den: int, extra: float,
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows of the keys that two sets or more hold, each once."""
     by_key = W.partitionBy("key")
-    return rows.withColumns({"low": F.min("d1").over(by_key), "high": F.max("d1").over(by_key)}).filter("low <> high").drop("low", "high").dropDuplicates(["key", "d1"])
+    return rows.withColumns({"low": F.min("d1").over(by_key), "high": F.max("d1").over(by_key)}).filter("low <> high").drop("low", "high").dropDuplicates(["key", "d1", "mark"])
 
 
 def _enough(rows: DataFrame) -> DataFrame:
@@ -203,7 +210,7 @@ def _candidates(index: DataFrame, sizes: DataFrame, num: int, den: int) -> DataF
     """
     rare = index.filter(F.col("mark") % 4 < PAIR).withColumn("need", F.floor(F.col("mark") / 4).cast("int"))
     once = cut(_enough(_shared(rare)))
-    left = _shared(_enough(_shared(once)).filter(F.col("mark") % 4 == SINGLE)).select("key", "d1").join(sizes, "d1")
+    left = _shared(_enough(_shared(once)).filter(F.col("mark") % 4 == SINGLE)).select("key", "d1").distinct().join(sizes, "d1")
     by_size = W.partitionBy("key").orderBy("n", "d1")
     chained = left.select("d1", "n", F.lag("d1").over(by_size).alias("d0"), F.lag("n").over(by_size).alias("n0"))
     chains = chained.filter((F.col("n0") * den >= F.col("n") * num) & (F.col("d0") != F.col("d1"))).select(F.col("d1").alias("a"), F.col("d0").alias("b"))
@@ -217,50 +224,53 @@ def link(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """The first place of each set's component under exact links: an in-memory prefix join that checks only sets not yet joined."""
     every, counts = np.unique(np.concatenate(sets), return_counts=True)
     component = np.arange(len(sets))
+    members = {i: [i] for i in range(len(sets))}
     sizes = np.array([len(s) for s in sets])
     index: dict[int, array] = {}
-    for i in np.argsort(sizes, kind="stable"):
+    for i in np.argsort(sizes, kind="stable").tolist():
         mine, n = sets[i], len(sets[i])
         at = np.searchsorted(every, mine)
         prefix = at[np.lexsort((at, counts[at]))][: n - least_overlap(n, num, den) + 1]
-        shares = np.zeros(len(sets), dtype=bool)
-        for token in prefix[counts[prefix] > 1].tolist():
-            others = index.setdefault(token, array("q"))
-            if others:
-                shares[np.frombuffer(others, dtype=np.int64)] = True
-            index[token] = others + array("q", [i])
-        for j in np.flatnonzero(shares & (component != component[i]) & (sizes * den >= n * num)):
-            if component[j] != component[i]:
-                other = sets[j]
-                near = np.searchsorted(mine, other)
-                near[near == n] = n - 1
-                shared = int((mine[near] == other).sum())
-                if shared * den >= (n + len(other) - shared) * num:
-                    low, high = sorted((component[i], component[j]))
-                    component[component == high] = low
+        prefix = prefix[counts[prefix] > 1].tolist()
+        near = [np.frombuffer(index[token], dtype=np.int64) for token in prefix if token in index]
+        if near:
+            some = np.unique(np.concatenate(near))
+            for j in some[sizes[some] * den >= n * num].tolist():
+                if component[j] != component[i]:
+                    other = sets[j]
+                    place = np.searchsorted(mine, other)
+                    place[place == n] = n - 1
+                    shared = int((mine[place] == other).sum())
+                    if shared * den >= (n + len(other) - shared) * num:
+                        few, many = sorted((int(component[i]), int(component[j])), key=lambda c: len(members[c]))
+                        members[many] += members.pop(few)
+                        component[members[many]] = many
+        del near
+        for token in prefix:
+            index.setdefault(token, array("q")).append(i)
+    for group in members.values():
+        component[group] = min(group)
     return component
 
 
 def _verified(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): each class, by its smallest key, and the root of its component in the task; ``groups`` has task, id, text, d1, d2."""
+    """(a, b): each class, by its number, and the root of its component in the task; ``groups`` has label, task, c, text, d1, d2."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets, ids = [], []
+        held: dict[int, np.ndarray] = {}
         texts = pa.array(pdf["text"], pa.string())
         for row, tokens in shingle_sets(texts, k):
             if fingerprint(tokens) == (pdf["d1"].iat[row], pdf["d2"].iat[row]):  # a key may have other texts
-                sets.append(tokens)
-                ids.append(pdf["id"].iat[row])
-        order = np.argsort(np.array(ids), kind="stable") if ids else []
-        sets, ids = [sets[i] for i in order], [ids[i] for i in order]
-        roots = link(sets, num, den) if sets else []
+                held[pdf["c"].iat[row]] = tokens
+        ids = sorted(held)
+        roots = link([held[c] for c in ids], num, den) if ids else []
         return pd.DataFrame({"a": ids, "b": [ids[r] for r in roots]}, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
-    return groups.groupBy("label", "task").applyInPandas(run, "a bigint, b bigint")
+    return groups.select("label", "task", "c", "text", "d1", "d2").groupBy("label", "task").applyInPandas(run, "a bigint, b bigint")
 
 
 def _tasks(classes: DataFrame, num: int, den: int, group_tokens: int) -> tuple[DataFrame, bool]:
-    """``classes`` (label, id, n, d1, d2) with the tasks where each takes part, and whether any group was cut."""
+    """``classes`` (label, c, id, n, d1, d2) with the tasks where each takes part, and whether any group was cut."""
     whole = classes.groupBy("label").agg(F.sum("n").alias("tokens"))
     large = cut(whole.filter(F.col("tokens") > group_tokens))
     if large.isEmpty():
@@ -282,17 +292,20 @@ def _tasks(classes: DataFrame, num: int, den: int, group_tokens: int) -> tuple[D
     return rest.unionByName(dealt.select(*rest.columns)), True
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, extra: float = 0.5, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """(key, n_shingles, component_id) of every row: the smallest key that links reach from it."""
+def _components(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, extra: float, group_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: id, n, d1, d2; classes: d1, d2, id; links: d1, d2, r1, r2, component of the classes that links join, r1 and r2 their root's digest)."""
     summaries = cut(_summaries(docs, key, text, k))
     rows = summaries.filter("kind = 0").select("id", "n", "d1", "d2")
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     frequent, ranks = _frequent(summaries.filter("kind = 1"), tokens)
     full = rows.filter("n > 0")
     classes = full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    edges = _candidates(_index(docs, text, k, num, den, extra, frequent, ranks), full.groupBy("d1").agg(F.max("n").alias("n")), num, den)
+    edges = _candidates(_index(docs, text, k, num, den, extra, frequent, ranks), full.select("d1", "n").distinct(), num, den)
     groups = connected_components(edges)
-    grouped = cut(classes.join(groups, classes["d1"] == groups["node"]).filter("id is not null").select("label", "id", "n", "d1", "d2"))
+    clashes = classes.groupBy("d1").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("d1").alias("node"), F.col("d1").alias("label"))
+    groups = groups.unionByName(clashes.join(groups.select("node"), "node", "left_anti"))
+    grouped = classes.join(groups, classes["d1"] == groups["node"]).filter("id is not null")
+    grouped = cut(grouped.select("label", F.monotonically_increasing_id().alias("c"), "id", "n", "d1", "d2"))
     dealt, was_cut = _tasks(grouped, num, den, group_tokens)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     few = dealt.count() <= BROADCAST_CLASSES
@@ -300,17 +313,65 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     if was_cut:
         merged = connected_components(found)
         found = merged.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    linked = found.filter("a <> b").distinct()
-    by_class = classes.join(linked, classes["id"] == linked["a"], "left").select("d1", "d2", F.coalesce("b", "id").alias("component_id"))
-    out = full.join(by_class, ["d1", "d2"]).select("id", "n", "component_id")
+    else:
+        together = found.groupBy("b").agg(F.count("*").alias("m")).filter("m > 1").select("b")
+        found = found.join(together, "b")
+    linked = cut(grouped.join(found, grouped["c"] == found["a"]).select("d1", "d2", "c", "b", "id"))
+    roots = linked.groupBy("b").agg(F.min("id").alias("component"), F.min_by(F.struct("d1", "d2"), "c").alias("root"))
+    return rows, classes, linked.join(roots, "b").select("d1", "d2", F.col("root.d1").alias("r1"), F.col("root.d2").alias("r2"), "component")
+
+
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, extra: float = 0.5, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """(key, n_shingles, component_id) of every row: the smallest key that links reach from it."""
+    rows, classes, links = _components(docs, key, text, k, num, den, extra, group_tokens)
+    by_class = classes.join(links, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
+    out = rows.filter("n > 0").join(by_class, ["d1", "d2"]).select("id", "n", "component_id")
     empty = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(empty).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component, that of the smallest key; rows that repeat its key stay one row. Rows with a null key stay."""
-    joined = ngram_join(docs, key, text, **options)
-    kept = joined.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    named = docs.filter(F.col(key).isNotNull())
-    stay = named.join(kept, named[key] == kept["__kept"]).drop("__kept")
-    return stay.dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, extra: float = 0.5, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """One document of each component, that of the smallest key and, for a repeated key, of the smallest set's digest.
+
+    What goes is chosen among keys and digests; texts move only where the rows to remove are more
+    than ``BROADCAST_ROWS``, or where a key repeats. Rows that link with nothing stay, as do rows with
+    a null key; of rows equal in key and set that link or repeat, the one smallest by all columns stays.
+    """
+    rows, _, links = _components(docs, key, text, k, num, den, extra, group_tokens)
+    named = rows.filter("n > 0 and id is not null")
+    joined = named.join(links, ["d1", "d2"], "left").select("id", "d1", "d2", F.coalesce("r1", "d1").alias("r1"), F.coalesce("r2", "d2").alias("r2"))
+    first = joined.groupBy("r1", "r2").agg(F.min(F.struct("id", "d1", "d2")).alias("one"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    # Components of several rows: all rows of a key that holds only removed sets go by key alone.
+    members = cut(joined.join(first, ["r1", "r2"]).withColumn("goes", F.struct("id", "d1", "d2") != F.col("one")).select("id", "d1", "d2", "goes"))
+    repeated = rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").select("id")
+    gone = cut(members.filter("goes").select("id").join(repeated, "id", "left_anti").distinct()).withColumnRenamed("id", "__gone")
+    repeated = cut(repeated).withColumnRenamed("id", "__again")
+    few = lambda rows: F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+    stay = docs.join(few(gone), F.col(key) == F.col("__gone"), "left_anti")
+    if repeated.isEmpty():
+        return stay
+    # Rows of a repeated key are told apart by the digests of their sets.
+    unique = stay.join(few(repeated), F.col(key) == F.col("__again"), "left_anti")
+    again = cut(docs.join(few(repeated), F.col(key) == F.col("__again"), "left_semi"))
+    digests = again.select(F.col(text).alias("__text")).distinct().mapInArrow(_digests(k), "__text string, __d1 bigint, __d2 bigint, __n bigint")
+    told = again.join(digests, again[text].eqNullSafe(digests["__text"])).drop("__text")
+    goes = members.filter("goes").select(F.col("id").alias("__id"), F.col("d1").alias("__g1"), F.col("d2").alias("__g2")).distinct()
+    kept = told.join(goes, (told[key] == goes["__id"]) & (told["__d1"] == goes["__g1"]) & (told["__d2"] == goes["__g2"]) & (told["__n"] > 0), "left_anti")
+    empty = kept.filter("__n = 0").select(*docs.columns)
+    one = kept.filter("__n > 0").groupBy(F.col(key).alias("__key"), "__d1", "__d2").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__row")).select("__row.*")
+    return unique.unionByName(empty).unionByName(one)
+
+
+def _digests(k: int):
+    """A function of batches of texts that gives each with the digest and size of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.zeros((3, batch.num_rows), dtype=np.int64)
+            for row, tokens in shingle_sets(batch.column(0), k):
+                if len(tokens):
+                    made[0, row], made[1, row] = fingerprint(tokens)
+                    made[2, row] = len(tokens)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in made)], names=["__text", "__d1", "__d2", "__n"])
+
+    return run

@@ -1,35 +1,11 @@
-"""Checkpoints, guarded column access and connected components shared by the operators of this package."""
+"""Connected components, over checkpoints in the shared folder, for the operators of this package."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_folder(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; set a local one only where none is set, as in tests."""
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    ensure_checkpoint_folder(spark)
-    return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so a lost executor costs one read."""
-    ensure_checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def parts(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, for explicit range partitionings."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+from quarry.session import cut
 
 
 def _digest(edges: DataFrame) -> tuple:

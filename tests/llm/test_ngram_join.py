@@ -116,3 +116,61 @@ def test_prefixes_of_links_share_what_both_need(num, den, extra):
         rare = [set(keys[kinds < J.PAIR].tolist()) for keys, kinds, _ in found]
         assert len(rare[0] & rare[1]) >= max(need for _, _, need in found)
     assert links > 100
+
+
+def test_every_pair_of_sizes_and_overlaps_shares_what_both_need():
+    """All sizes to 48, all overlaps that link: the shared tokens may stand anywhere, at the end at worst."""
+    none = np.zeros(0, dtype=np.uint64)
+    for num, den, extra in [(90, 100, 1.0), (90, 100, 2.0), (4, 5, 0.5), (4, 5, 1.0), (1, 2, 0.5)]:
+        for n in range(1, 49):
+            for m in range(n, min(48, n * den // num) + 1):
+                for o in range(1, n + 1):
+                    if o * den < (n + m - o) * num or n == m == o:
+                        continue
+                    shared = np.arange(10_000, 10_000 + o, dtype=np.uint64)
+                    a = np.concatenate([np.arange(n - o, dtype=np.uint64), shared])
+                    b = np.concatenate([np.arange(100, 100 + m - o, dtype=np.uint64), shared])
+                    found = [J.index_rows(x, none, none.astype(np.int64), num, den, extra) for x in (a, b)]
+                    keys = [set(k[kinds < J.PAIR].tolist()) for k, kinds, _ in found]
+                    single = [set(k[kinds == J.SINGLE].tolist()) for k, kinds, _ in found]
+                    assert len(keys[0] & keys[1]) >= max(need for _, _, need in found) and single[0] & single[1], (num, den, extra, n, m, o)
+
+
+def test_string_keys_and_clashing_names(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(f"k{i:04}", t, 0, "x") for i, t in rows], "id string, d1 string, n int, label string").repartition(3)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in J.ngram_join(docs, key="id", text="d1", k=3, num=4, den=5).collect()}
+    assert got == {f"k{i:04}": (n, f"k{c:04}") for i, (n, c) in brute(rows, 3, 4, 5).items()}
+    kept = J.keep_one(docs, key="id", text="d1", k=3, num=4, den=5)
+    assert kept.columns == docs.columns and sorted(r["id"] for r in kept.collect()) == sorted(f"k{i:04}" for i, (_, c) in brute(rows, 3, 4, 5).items() if i == c)
+
+
+def test_rows_of_one_key_with_different_texts_are_judged_by_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a + " end", 1), (2, a, 1), (2, b, 2), (2, b, 2), (2, b, 1), (2, b.upper(), 0), (3, b + " more", 1), (4, None, 1), (4, None, 1), (4, "", 1), (5, "alone here", 1), (6, a, 1), (6, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint")
+    got = sorted((tuple(r) for r in J.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(1, a + " end", 1), (2, b.upper(), 0), (4, None, 1), (4, None, 1), (4, "", 1), (5, "alone here", 1), (6, "", 1)], key=repr)
+    docs = spark.createDataFrame([(9, a, 1), (9, a, 1), (8, b, 1)], "doc_id bigint, text string, n bigint")
+    assert sorted(r["doc_id"] for r in J.keep_one(docs).collect()) == [8, 9]
+
+
+def test_sets_that_clash_in_half_their_digest_still_link(spark, monkeypatch):
+    """All digests agree in their first half: groups are as coarse as can be, the links the same."""
+    whole = J.fingerprint
+    monkeypatch.setattr(J, "fingerprint", lambda tokens: (7, whole(tokens)[1]))
+    rows = corpus(11)
+    assert run_in_process(spark, rows) == brute(rows, 3, 4, 5)
+
+
+def run_in_process(spark, rows):
+    """The join where Python workers see the patched digest: functions are shipped by value."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(J)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert {r["d1"] for r in J._summaries(docs, "doc_id", "text", 3).filter("kind = 0 and n > 0").collect()} == {7}
+        return run(spark, rows, k=3, num=4, den=5)
+    finally:
+        cloudpickle.unregister_pickle_by_value(J)
