@@ -8,15 +8,18 @@ both. Where a fingerprint recurs, the windows around it, the shortest runs of RU
 begin or end at a line, are compared with all others by digests of 128 bits; a run that is at an
 earlier place by (document, line) is deleted. Any equal runs of RUN_WORDS words are made of such
 windows, so a later run goes whole, whichever documents hold parts of it before.
-The first place of a window is never the one deleted.
+The first place of a window is never the one deleted, but where a text repeats one line over and
+over, windows overlap their own first place, and of such a run the first line stays.
 
 Fingerprints and windows are reduced to their first places before they are shuffled, so a line that
-half of all documents hold costs one row a document and window; only digests, not texts, are brought together.
-
-Defined cases: null and empty texts have no lines and stay as they are; a row with a null key stays
-as it is, since nothing orders it; rows that repeat a key have their own places by the hash of
-their texts, and rows equal in key and text are one document, changed alike; lines are compared
-by their words; an empty table gives an empty result.
+half of all documents hold costs one row a document and window; only digests, not texts, are brought
+together. Texts move only where the rows with repeated runs hold more than ``BROADCAST_LINES`` lines.
+
+Defined cases: null and empty texts have no lines and stay as they are; a text or line of any length
+is taken whole; a row with a null key stays as it is, since nothing orders it; rows that repeat a
+key have their own places by the hash of their texts, and rows equal in key and text are one
+document, changed alike; lines are compared by their words; extra columns are passed through but for
+those named like results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from quarry.llm.textvec import line_hashes
 
 #: Words of a run that is deleted, at least (the guarantee), and of a gram (the noise threshold).
 RUN_WORDS, GRAM_WORDS = 50, 25
+#: Lines to delete, and rows that have any, that are broadcast to clean the texts where they lie, at most (about 60 MB).
+BROADCAST_LINES = 2_000_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -108,7 +113,8 @@ def windows(counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """(id, d, lines): places, among all lines of the text, of the lines to delete, for each document that has any."""
-    scanned = cut(_scan(docs, key, text, run_words, gram_words).dropDuplicates(["id", "d"]))
+    # Rows equal in key and text may be there twice: their places are the same, so none is later than the other.
+    scanned = cut(_scan(docs, key, text, run_words, gram_words))
     prints = scanned.select("id", "d", F.explode(F.arrays_zip("prints", "at")).alias("x")).select("id", "d", F.col("x.prints").alias("print"), F.col("x.at").alias("at"))
     often = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
     shared = prints.join(often, "print").groupBy("id", "d").agg(F.collect_set("at").alias("shared"))  # at most a place a line
@@ -138,7 +144,9 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run_
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """``docs`` without repeated runs: the text is cleaned, ``n_lines`` and ``removed_lines`` (their places) are added."""
     docs = docs.drop("n_lines", "removed_lines")
-    runs = repeated_runs(docs, key, text, run_words, gram_words).withColumnsRenamed({"id": "__id", "d": "__d", "lines": "removed_lines"})
+    runs = cut(repeated_runs(docs, key, text, run_words, gram_words)).withColumnsRenamed({"id": "__id", "d": "__d", "lines": "removed_lines"})
+    held = runs.agg(F.coalesce(F.sum(F.size("removed_lines") + 1), F.lit(0))).first()[0]
+    runs = F.broadcast(runs) if held <= BROADCAST_LINES else runs
     keyed = docs.withColumn("__hash", F.xxhash64(text))
     joined = keyed.join(runs, (keyed[key] == runs["__id"]) & (keyed["__hash"] == runs["__d"]), "left")
     lines = F.split(F.col(text), "\n", -1)
