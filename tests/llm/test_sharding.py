@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -70,3 +71,30 @@ def test_a_hot_key_spreads_and_empty_tables_stay_empty(spark):
     assert set(counts.values()) == {40}
     assert S.shard_documents(docs.limit(0)).collect() == []
     assert S.shard_documents(docs).columns == ["doc_id", "text", "shard", "slot"]
+
+
+def test_thousands_of_shards_and_movement():
+    rng = random.Random(5)
+    counts = Counter(rng.randrange(1 << 19) for _ in range(200_000))
+    filled = Counter()
+    for _, low, high, shard, _ in S.walk(counts, 2000, 64, 0.0):
+        filled[shard] += high - low
+    assert set(filled.values()) == {100}
+    counts = Counter(rng.randrange(1 << S.CELL_BITS) for _ in range(200_000))
+    place = lambda n: {(c, i): s for c, low, high, s, _ in S.walk(counts, n, 64, 0.0) for i in range(low, high)}
+    before, after = place(16), place(17)
+    share = S.moved(counts, 16, 64)
+    assert abs(share - sum(before[x] != after[x] for x in before) / len(before)) < 1e-9
+    assert 1 / 17 - 1e-4 <= share < 0.2 and S.moved(counts, 16, 64, slack=1.0) < 0.09
+
+
+def test_parts_of_cells_number_rows_without_gaps(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_PER_PART", 7)
+    rows = [(1, f"text {i}", "x") for i in range(900)] + [(i, "long " * 100_000 if i == 5 else "t", "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, FIELDS).repartition(4)
+    got = S.shard_documents(docs, 8).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t) for i, t, _ in rows)
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(120))
+    again = {(r["doc_id"], r["text"]): r["shard"] for r in S.shard_documents(docs.repartition(3), 8).collect()}
+    assert again == {(r["doc_id"], r["text"]): r["shard"] for r in got}
