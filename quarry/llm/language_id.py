@@ -4,11 +4,15 @@ A profile ranks a language's most frequent byte n-grams of one to three bytes. A
 frequent n-grams are ranked alike, and each language's distance is the sum of how far each n-gram
 is out of place, an absent one counting as the length of the profile. Profiles are learnt from a
 bounded sample of the labelled rows that aren't held out: the ``per_language`` rows of each
-language whose key hashes lowest.
+language whose key and text hash lowest. Rows are counted by slices of the hash's range, and only
+those of the first slices that hold as many are ranked, so a language of most rows sends few to a task.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text where
-nothing could be learnt; a row with a null key isn't learnt from and not held out; ties go to the
-language that sorts first; repeated rows are predicted alike; an empty table gives an empty result.
+nothing could be learnt; texts of any length are profiled whole; a row with a null key isn't learnt
+from and not held out; n-grams as frequent as each other rank by their bytes, and languages as near
+as each other go by name; rows equal in key and text are learnt from once and predicted alike, rows
+of one key with different texts each; other columns aren't read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,15 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import cut
 from quarry.llm.textvec import chunks
 
 #: N-grams in a profile.
 PROFILE = 400
 #: Labelled rows that each language's profile is learnt from, at most.
 PER_LANGUAGE = 2000
-#: Slices that a language's rows are ranked in before they are ranked together.
-SLICES = 256
-#: Most sampled rows whose keys are broadcast.
+#: Binary digits of a slice of the hash's range.
+SLICE_BITS = 16
+#: Most rows of small tables (slices, sampled hashes) that are broadcast.
 BROADCAST_ROWS = 500_000
 
 
@@ -67,17 +72,17 @@ def held_out(key: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles by language."""
-    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"), held_out(key).alias("h"))
-    labelled = labelled.filter("k is not null and t is not null and l is not null and not h")
-    # Ranks inside slices of a language first: a language of most rows then sends few to the last rank.
-    hashed = labelled.select("k", "l", F.xxhash64("k").alias("h")).withColumn("slice", F.pmod("h", F.lit(SLICES)))
-    ranked = hashed
-    for by in (("l", "slice"), ("l",)):
-        nth = F.row_number().over(W.partitionBy(*by).orderBy("h", "k"))
-        ranked = ranked.withColumn("nth", nth).filter(F.col("nth") <= per_language)
-    sample = ranked.select("k").distinct()
-    few = sample.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = labelled.select("k", "t", "l").join(F.broadcast(sample) if few else sample, "k", "left_semi").select("l", "t")
+    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"), held_out(key).alias("out"))
+    labelled = labelled.filter("k is not null and t is not null and l is not null and not out").select("t", "l", F.xxhash64("k", "t").alias("h"))
+    small = lambda rows: F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+    hashed = cut(labelled.select("l", "h", F.shiftright("h", 64 - SLICE_BITS).cast("int").alias("slice")).distinct())
+    before = F.sum("n").over(W.partitionBy("l").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+    counts = hashed.groupBy("l", "slice").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    needed = counts.filter(F.col("before") < per_language).select("l", "slice")
+    some = hashed.join(small(needed), ["l", "slice"]).select("l", "h")
+    nth = F.row_number().over(W.partitionBy("l").orderBy("h"))
+    sample = cut(some.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("l", "h"))
+    rows = labelled.join(small(sample), ["l", "h"], "left_semi").groupBy("l", "h").agg(F.first("t").alias("t")).select("l", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

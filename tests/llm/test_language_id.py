@@ -1,7 +1,9 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import xxhash
 
 from quarry.llm import language_id as L
 
@@ -50,3 +52,53 @@ def test_nothing_learnt_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
     assert L.language_id(docs).first()["lang_pred"] == "und"
     assert L.language_id(docs.limit(0)).collect() == []
+
+
+def plain_ngrams(text):
+    """Counts of the byte n-grams of a text, coded by their bytes and length."""
+    fold = lambda b: b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32
+    b = [32, *map(fold, text.encode()), 32]
+    out = Counter(x for x in b if x != 32)
+    out.update((1 << 30) | (x << 8) | y for x, y in zip(b, b[1:]) if (x, y) != (32, 32))
+    out.update((1 << 31) | (x << 16) | (y << 8) | z for x, y, z in zip(b, b[1:], b[2:]) if y != 32)
+    return out
+
+
+def ranked(counts, size=L.PROFILE):
+    return [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+
+
+def brute(rows, per_language):
+    """(language, score) of every row, learnt and compared n-gram by n-gram."""
+    def h(i, t):
+        x = xxhash.xxh64(t.encode(), seed=xxhash.xxh64(i.to_bytes(8, "little", signed=True), seed=42).intdigest()).intdigest()
+        return x - (1 << 64) if x >> 63 else x
+
+    labelled = {}
+    for i, t, lang in rows:
+        if None not in (i, t, lang) and zlib.crc32(str(i).encode()) % 4 != 2:
+            labelled.setdefault(lang, {})[h(i, t)] = t
+    profiles = {}
+    for lang, texts in labelled.items():
+        counts = sum((plain_ngrams(texts[x]) for x in sorted(texts)[:per_language]), Counter())
+        profiles[lang] = {c: n for n, c in enumerate(ranked(counts))}
+    out = []
+    for _, t, _ in rows:
+        own = ranked(plain_ngrams(t or ""))
+        if not any(c.isalpha() for c in t or "") or not profiles:
+            out.append(("und", 0.0))
+        else:
+            far = {lang: sum(abs(p[c] - n) if c in p else L.PROFILE for n, c in enumerate(own)) for lang, p in profiles.items()}
+            best = min(sorted(far), key=far.get)
+            out.append((best, 1 - far[best] / (len(own) * L.PROFILE)))
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    """With ties, repeated rows, rows of one key, long texts, and columns that clash with inner names."""
+    rows = corpus() + corpus()[:40] + [(7, "the other dog", "en"), (7, "der andere hund", "de"), (2000, "zzz", "qa"), (2001, "zzz", "qb"), (2002, "zzz", None)]
+    for per_language in (3, 25, 2000):
+        docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, lang string, held_out string, score int").repartition(5)
+        got = L.identify(docs, L.learn(docs, per_language=per_language))
+        expected = [(i, *p) for (i, _, _), p in zip(rows, brute(rows, per_language))]
+        assert sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got.collect()), key=repr) == sorted(expected, key=repr)
