@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from quarry.llm.decontamination import bottom, clean_documents, contained_items
+from quarry.llm.decontamination import Items, bottom, clean_documents, contained_items
 
 PLAIN = re.compile("[0-9a-zA-Z\x80-\U0010ffff]+")
 
@@ -64,3 +65,22 @@ def test_sketches_cannot_miss():
     for upper in range(1, 200):
         for n in range(upper // 2 + 1, upper + 1):
             assert n - -(-n * 4 // 5) < bottom(upper, 4, 5)
+
+
+def test_equal_key_names_equal_items_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 7), (1, "a b c d e f g", 7), (2, None, None)], "id bigint, text string, shared_shingles int")
+    items = spark.createDataFrame([("x", "A b, c d e f"), ("y", "a b c d e f")], "id string, text string")
+    got = contained_items(docs, items, key="id", item="id")
+    assert got.columns[:2] == ["id", "item_id"] and sorted((r[0], r[1]) for r in got.collect()) == [(1, "x"), (1, "x"), (1, "y"), (1, "y")]
+    assert [r["id"] for r in clean_documents(docs, items, item="id").collect()] == [2]
+
+
+def test_documents_hold_the_minima_that_candidates_need():
+    rng = random.Random(7)
+    for _ in range(300):
+        sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randrange(1, 70))], dtype=np.uint64)) for _ in range(5)]
+        items = Items(list(enumerate(sets)), 4, 5)
+        s = sets[0]
+        gone = rng.sample(range(len(s)), len(s) - -(-len(s) * 4 // 5))
+        held = np.concatenate([np.delete(s, gone), np.array([rng.getrandbits(64) for _ in range(400)], dtype=np.uint64)])
+        assert 0 in items.candidates(held)
