@@ -4,14 +4,16 @@ The key universe is every host of the corpus and its parent domains. Level 1 enc
 keys; level 2 the keys that aren't listed but pass level 1; level 3 the listed keys that pass
 level 2; and so on until nothing passes wrongly. The first level that a key of the universe fails
 then tells exactly whether it is listed. Levels are bit arrays of a checked size: keys are dealt to
-as many cascades, by hash, as keep each below ``MAX_BITS``, and a task tests its rows against one
-cascade at a time. URLs are judged where they lie; only distinct keys are shuffled.
+as many cascades, by hash, as keep each below ``MAX_BITS``, and a task that has more than one tests
+``HELD_KEYS`` of its keys against one cascade after the other and lets go of each. URLs are judged
+where they lie; only distinct keys are shuffled.
 
 A rule table decides first: the longest rule that fits by host and path prefix wins.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
-allowed; repeated rows are judged alike; an empty list blocks nothing; an empty table gives an
-empty result.
+allowed; a URL of any length is read whole; rules that fit equally long are judged by the later of the
+table; repeated rows are judged alike; an empty list blocks nothing; other columns aren't read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 BLOCKED = tuple(f"{name}.example.{top}" for name in ("casino-win", "cheap-pills", "spam-farm") for top in ("com", "net", "org"))
 #: Bits of a level, at most (32 MB).
 MAX_BITS = 1 << 28
+#: Keys that a task holds (20 MB) while it goes through several cascades.
+HELD_KEYS = 1 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -164,16 +168,32 @@ def judge_hosts(rows: DataFrame, cascades: list[list[Level]], columns: list[str]
     context = rows.sparkSession.sparkContext
     held = [context.broadcast(c) for c in cascades]
 
+    def judged(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(batches).combine_chunks()
+        k1, k2 = (both.column(len(columns) + i).combine_chunks() for i in (0, 1))
+        h1, h2 = k1.flatten().to_numpy(zero_copy_only=False).astype(np.int64), k2.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(both.num_rows), k1.value_lengths().to_numpy(zero_copy_only=False))
+        found = np.zeros(both.num_rows, dtype=bool)
+        for part, cascade in enumerate(held):
+            mine = np.flatnonzero(h1 % len(held) == part) if len(held) > 1 else np.arange(len(h1))
+            found[owner[mine[listed(cascade.value, h1[mine], h2[mine])]]] = True
+            if len(held) > 1:
+                vars(cascade).pop("_value", None)  # read again from the worker's disk for the next keys
+        at = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found[at : at + batch.num_rows])], names=[*columns, "is_listed"])
+            at += batch.num_rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, keys = [], 0
         for batch in batches:
-            k1, k2 = batch.column(len(columns)), batch.column(len(columns) + 1)
-            h1, h2 = k1.flatten().to_numpy(zero_copy_only=False).astype(np.int64), k2.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(batch.num_rows), k1.value_lengths().to_numpy(zero_copy_only=False))
-            found = np.zeros(batch.num_rows, dtype=bool)
-            for part, cascade in enumerate(held):
-                mine = np.flatnonzero(h1 % len(held) == part) if len(held) > 1 else np.arange(len(h1))
-                found[owner[mine[listed(cascade.value, h1[mine], h2[mine])]]] = True
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found)], names=[*columns, "is_listed"])
+            waiting.append(batch)
+            keys += len(batch.column(len(columns)).flatten())
+            if len(held) == 1 or keys >= HELD_KEYS:
+                yield from judged(waiting)
+                waiting, keys = [], 0
+        if waiting:
+            yield from judged(waiting)
 
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     return rows.select(*columns, "k1", "k2").mapInArrow(run, f"{fields}, is_listed boolean")
@@ -191,7 +211,7 @@ def url_filter(pages: DataFrame, blocked: DataFrame | None = None, rules=RULES,
     distinct = parsed.select("host").distinct().select(F.explode(host_keys(F.col("host"), most_labels)).alias("key")).distinct()
     marked = distinct.join(hosts.withColumn("listed", F.lit(True)), "key", "left")
     h1, h2 = hashes(F.col("key"))
-    cascades = build(marked.select(h1.alias("h1"), h2.alias("h2"), F.coalesce("listed", F.lit(False)).alias("listed")))
+    cascades = build(marked.select(h1.alias("h1"), h2.alias("h2"), F.coalesce("listed", F.lit(False)).alias("listed")), MAX_BITS)
     rule, verdict = rule_and_verdict(F.col("host"), F.col("path"), rules)
     keyed = parsed.withColumns({"rule": rule, "by_rule": verdict, "keys": host_keys(F.col("host"), most_labels)})
     keyed = keyed.withColumns({"k1": F.transform("keys", lambda k: hashes(k)[0]), "k2": F.transform("keys", lambda k: hashes(k)[1])})

@@ -49,11 +49,15 @@ def test_cascades_are_exact_over_their_universe_whole_or_dealt(spark):
 
 def test_many_cascades_judge_as_one(spark, monkeypatch):
     monkeypatch.setattr(U, "MAX_BITS", 64)
+    made = []
+    whole = U.build
+    monkeypatch.setattr(U, "build", lambda *args: made.append(whole(*args)) or made[-1])
     hosts = [f"h{i}.site{i % 50}.com" for i in range(400)]
     pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id bigint, url string")
     blocked = spark.createDataFrame([(f"SITE{i}.com",) for i in range(0, 50, 3)] + [("h1.site1.com",), (None,), ("",)], "host string")
     got = {r["page_id"]: r["verdict"] for r in U.url_filter(pages, blocked, rules=()).collect()}
     assert got == {i: "block" if i % 50 % 3 == 0 or i == 1 else "allow" for i in range(400)}
+    assert len(made[0]) > 1
 
 
 def test_empty_lists_and_tables(spark):
@@ -62,3 +66,11 @@ def test_empty_lists_and_tables(spark):
     assert U.url_filter(pages, none).first()["verdict"] == "allow"
     assert U.url_filter(pages).first()["verdict"] == "block"
     assert U.url_filter(pages.limit(0)).collect() == []
+
+
+def test_clashing_columns_long_urls_and_repeated_rows(spark):
+    url = "http://www.spam-farm.example.com/" + "x" * 500_000 + "/fr/"
+    rows = [(1, url, "mine", 5, "r"), (1, url, "mine", 5, "r"), (2, None, None, None, None), (2, "http://fine.org/fr/", "h", 1, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, host string, keys int, verdict string")
+    got = sorted((r["page_id"], len(r["path"]), r["rule"] or "", r["verdict"]) for r in U.url_filter(pages).collect())
+    assert got == [(1, 500_005, "", "block"), (1, 500_005, "", "block"), (2, 0, "", "allow"), (2, 4, "org/fr/", "allow")]
