@@ -65,3 +65,9 @@ def test_clashing_columns_and_empty_tables(spark):
     assert keep_good(docs).collect() == docs.collect()
     assert quality_rules(docs).first()["n_words"] == 13
     assert quality_rules(docs.limit(0)).collect() == [] and keep_good(docs.limit(0)).columns == docs.columns
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    docs = spark.createDataFrame([(1, "The fox runs over the dog and rests in the shade of it")] * 3 + [(1, None), (None, "same " * 30)] * 2, "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["kept"]) for r in quality_rules(docs).collect())
+    assert got == [(0, 30, False)] * 2 + [(1, 0, False)] * 2 + [(1, 13, True)] * 3 and keep_good(docs).count() == 3
