@@ -1,22 +1,20 @@
 """A training corpus from ``documents``: quality, near duplicates, benchmark items, mixture, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as
-Parquet into the shared checkpoint folder and reads it again as the next stage's ``docs``.
+Parquet into the shared checkpoint folder and reads it again as the next stage's ``docs``. A stage's
+files go once the next one's are written, the last ones' when the application ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.decontamination import clean_documents
 from quarry.llm.mixing import mix_documents
 from quarry.llm.ngram_join import keep_one
 from quarry.llm.quality_rules import keep_good
-from quarry.llm.shared import shared_folder
 from quarry.llm.sharding import shard_documents
-from quarry.session import ship
+from quarry.session import remove, scratch, ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A budget of as many words as there are, no source more than twice."""
+    """A budget of as many words as there are, no source more than twice; files hold whole blocks of the mixture."""
     return mix_documents(docs, entropy_share=0.97, max_repetition=2.0)
 
 
@@ -49,16 +47,19 @@ STAGES = [
     ("sharding", shards),
 ]
 
-#: The stages hash words and keys by functions that DuckDB lacks; tests hold ``run`` against a brute-force version.
+#: The stages draw and place documents by hashes that DuckDB lacks; a test holds ``run`` against plain loops over all documents.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
+    before = None
+    for _, stage in STAGES:
+        path = scratch(spark, "corpus")
         result = stage(spark, docs, sf_dir)
         result.write.parquet(path)
         docs = spark.read.schema(result.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
