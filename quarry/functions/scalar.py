@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -16,21 +17,54 @@ from pyspark.sql.types import BinaryType, LongType
 CASTAGNOLI = 0x82F63B78
 
 
-def _crc_table() -> np.ndarray:
+def _step() -> np.ndarray:
+    """The checksum's state after one byte, for each byte."""
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         table = np.where(table & 1, (table >> 1) ^ np.uint32(CASTAGNOLI), table >> 1).astype(np.uint32)
     return table
 
 
-_CRC = _crc_table().tolist()
+_CRC = _step()
+
+
+def _shifted(levels: int = 40) -> np.ndarray:
+    """Row j, column i: what bit i of a state becomes after 2**j bytes of zero."""
+    rows = np.empty((levels, 32), dtype=np.uint32)
+    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    rows[0] = (bits >> np.uint32(8)) ^ _CRC[bits & np.uint32(0xFF)]
+    for j in range(1, levels):
+        rows[j] = _advance(rows[j - 1], rows[j - 1])
+    return rows
+
+
+def _advance(row: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """States moved on by the zeros of a row of ``_shifted``."""
+    out = np.zeros_like(states)
+    for i in range(32):
+        out ^= np.where((states >> np.uint32(i)) & np.uint32(1), row[i], np.uint32(0))
+    return out
+
+
+_ZEROS = _shifted()
 
 
 def crc32c_of(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for byte in data:
-        crc = (crc >> 8) ^ _CRC[(crc ^ byte) & 0xFF]
-    return crc ^ 0xFFFFFFFF
+    """CRC-32C of bytes: the state is linear, so halves are joined pairwise, all pairs of a length at once."""
+    size = len(data)
+    states = _CRC[np.frombuffer(data, dtype=np.uint8)]
+    begin = np.uint32(0xFFFFFFFF)
+    for j in range(size.bit_length()):
+        if (size >> j) & 1:
+            begin = _advance(_ZEROS[j], np.array([begin], dtype=np.uint32))[0]
+    level = 0
+    while len(states) > 1:
+        if len(states) % 2:
+            states = np.concatenate([np.zeros(1, dtype=np.uint32), states])  # zeros in front leave a state as it is
+        states = _advance(_ZEROS[level], states[::2]) ^ states[1::2]
+        level += 1
+    state = (states[0] if size else np.uint32(0)) ^ begin
+    return int(state ^ np.uint32(0xFFFFFFFF))
 
 
 @pandas_udf(LongType())
@@ -39,6 +73,40 @@ def crc32c(column: pd.Series) -> pd.Series:
     return column.map(lambda x: None if x is None else crc32c_of(bytes(x))).astype("Int64")
 
 
+#: Codecs of chunks, by name; lz4 is the block format without a frame.
+CODECS = ("none", "gzip", "zstd", "lz4")
+
+
+def _pack(data: bytes, codec: str) -> bytes:
+    if codec == "none":
+        return data
+    if codec == "gzip":
+        small = zlib.compress(data, 6, wbits=31)
+    else:
+        small = pa.Codec({"zstd": "zstd", "lz4": "lz4_raw"}[codec]).compress(data, asbytes=True)
+    return small if len(small) < len(data) else data
+
+
+def _unpack(data: bytes, codec: str, size: int) -> bytes:
+    if codec == "none" or len(data) == size:
+        return data
+    if codec == "gzip":
+        return zlib.decompress(data, wbits=31)
+    return pa.Codec({"zstd": "zstd", "lz4": "lz4_raw"}[codec]).decompress(data, decompressed_size=size, asbytes=True)
+
+
+@pandas_udf(BinaryType())
+def packed(data: pd.Series, codec: pd.Series) -> pd.Series:
+    """Bytes compressed by a named codec, or as they are where that isn't smaller."""
+    return pd.Series([None if x is None else _pack(bytes(x), c) for x, c in zip(data, codec)])
+
+
+@pandas_udf(BinaryType())
+def unpacked(data: pd.Series, codec: pd.Series, size: pd.Series) -> pd.Series:
+    """The inverse, by the bytes' number before: as many bytes weren't compressed."""
+    return pd.Series([None if x is None else _unpack(bytes(x), c, int(n)) for x, c, n in zip(data, codec, size)])
+
+
 @pandas_udf(BinaryType())
 def gzip_or_raw(column: pd.Series) -> pd.Series:
     """Bytes compressed, or as they are where that isn't smaller."""

@@ -1,4 +1,4 @@
-"""Numbers and running sums inside groups of any size, in two levels."""
+"""Numbers, running sums and neighbours inside groups of any size, in two levels: cells of the order, and the cells' totals."""
 
 from __future__ import annotations
 
@@ -23,3 +23,30 @@ def running(df: DataFrame, group: list[str], cell: Column, order: list[str], sum
     local = held.withColumns({f"__l_{n}": F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) for n in values})
     joined = local.join(offsets, [*group, "__cell"])
     return joined.select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in values])
+
+
+#: Numbers of a cell, where a group is ordered by a number that grows by about one a row.
+CELL = 1 << 16
+#: Bytes of a cell, where a group is ordered by byte offsets of chunks.
+CELL_BYTES = 1 << 28
+
+
+def text_cell(text: Column, width: int = 4) -> Column:
+    """A number that doesn't fall as texts go on: their first ``width`` bytes, 7 at most; -1 for null."""
+    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, width)), 2 * width, "0")
+    return F.coalesce(F.conv(head, 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
+
+
+def with_previous(df: DataFrame, group: list[str], cell: Column, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with each value of the row before a row in its group, null for the first.
+
+    As in ``running``, ``cell`` doesn't fall in ``order``. A row looks back inside its cell; the first
+    of a cell takes the last of the nearest cell before, found among one row a cell.
+    """
+    held = df.withColumn("__cell", cell).withColumn("__value", F.struct(*[v.alias(n) for n, v in values.items()]))
+    lasts = held.groupBy(*group, "__cell").agg(F.max_by("__value", F.struct(*order)).alias("__last"))
+    carried = lasts.select(*group, "__cell", F.lag("__last").over(W.partitionBy(*group).orderBy("__cell")).alias("__carried"))
+    inside = F.lag("__value").over(W.partitionBy(*group, "__cell").orderBy(*order))
+    joined = held.withColumn("__inside", inside).join(carried, [*group, "__cell"])
+    before = F.coalesce("__inside", "__carried")
+    return joined.withColumn("__before", before).select(*df.columns, *[F.col(f"__before.{n}").alias(n) for n in values])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.operators.overlay import ancestors, parent_of
+from quarry.operators.prefix import CELL, running, text_cell
+from quarry.session import cut
 
 
 def with_directories(files: DataFrame) -> DataFrame:
@@ -29,19 +32,24 @@ def depth(path: Column) -> Column:
 
 
 def depth_first(nodes: DataFrame) -> DataFrame:
-    """``order``: the place of each node in a depth-first walk, within its top directory, so walks run apart."""
-    top = F.element_at(F.split("path", "/"), 2)
-    return nodes.withColumn("top", top).withColumn("order", F.row_number().over(W.partitionBy("top").orderBy(walk_key(F.col("path")))).cast("bigint") - 1)
+    """``order``: the place of each node in a depth-first walk, within its top directory, so walks run apart.
+
+    Places are counted in cells of the name below the top directory, so a large one isn't one task's.
+    """
+    parts = F.split("path", "/")
+    walked = nodes.withColumns({"top": F.element_at(parts, 2), "__key": walk_key(F.col("path"))})
+    return running(walked, ["top"], text_cell(F.get(parts, F.lit(2))), ["__key"], {}, index="order").drop("__key")
 
 
 def children(nodes: DataFrame, parent: str) -> DataFrame:
     """Children of a directory with their index in name order."""
-    return nodes.filter(F.col("parent") == parent).withColumn("index", F.row_number().over(W.partitionBy("parent").orderBy("path")).cast("bigint") - 1)
+    return child_index(nodes.filter(F.col("parent") == parent))
 
 
 def child_index(nodes: DataFrame) -> DataFrame:
-    """``index``: place of each node among its parent's children, in name order."""
-    return nodes.filter("parent is not null").withColumn("index", F.row_number().over(W.partitionBy("parent").orderBy("path")).cast("bigint") - 1)
+    """``index``: place of each node among its parent's children, in name order, counted in cells of their names."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return running(nodes.filter("parent is not null"), ["parent"], text_cell(name), ["path"], {}, index="index")
 
 
 def descendants(nodes: DataFrame, directory: str) -> DataFrame:
@@ -56,32 +64,43 @@ def link_counts(nodes: DataFrame) -> DataFrame:
 
 
 def paths_by_parent(nodes: DataFrame, key: str = "ino", parent: str = "parent_ino", name: str = "name") -> DataFrame:
-    """(key, path) of each node from parent pointers, by a recursive query; the root's parent is null."""
-    view = "quarry_paths_by_parent"
-    nodes.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(name).alias("n")).createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(
-        f"WITH RECURSIVE walk(k, path) AS (SELECT k, '' FROM {view} WHERE p IS NULL UNION ALL SELECT v.k, walk.path || '/' || v.n FROM walk JOIN {view} v ON v.p = walk.k) "
-        f"SELECT k AS {key}, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM walk"
-    )
+    """(key, path) of each node from parent pointers, for trees of any size; the root's parent is null, and what hangs from no root is left out.
+
+    Pointers double, so a tree of depth d takes log d joins, each checkpointed.
+    """
+    root = F.col(parent).isNull()
+    state = cut(nodes.select(F.col(key).alias("k"), F.col(parent).alias("up"), F.when(root, "").otherwise(F.concat(F.lit("/"), F.col(name))).alias("path")))
+    while True:
+        waiting = state.filter("up is not null")
+        if waiting.isEmpty():
+            break
+        above = state.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
+        moved = waiting.join(above, "up").select("k", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"))
+        state = cut(state.filter("up is null").unionByName(moved))
+    return state.select(F.col("k").alias(key), F.when(F.col("path") == "", "/").otherwise(F.col("path")).alias("path"))
+
+
+def _joined_digest(order: str) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "digest"))), lambda x: x["digest"]), ""), 256)
 
 
 def directory_digests(nodes: DataFrame, levels: int) -> DataFrame:
     """(path, digest) of directories: the hash of their children's digests in name order, level by level from the deepest.
 
-    ``nodes`` has path, parent, is_dir, digest (of files). A level aggregates one directory's
-    children, as many as the directory has.
+    ``nodes`` has path, parent, is_dir, digest (of files). A level needs the files and directories
+    right below its own, and is checkpointed; one directory's children are aggregated together.
     """
-    known = nodes.filter("not is_dir").select("path", "parent", "digest")
-    dirs = nodes.filter("is_dir").select("path", "parent", depth(F.col("path")).alias("depth"))
-    out = None
+    files = nodes.filter("not is_dir").select("path", "parent", "digest")
+    dirs = cut(nodes.filter("is_dir").select("path", "parent", depth(F.col("path")).alias("depth")))
+    out, below = [], None
     for level in range(levels, -1, -1):
-        mine = dirs.filter(F.col("depth") == level)
-        digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda x: x["digest"]), ""), 256)
-        made = known.groupBy("parent").agg(digest.alias("digest")).withColumnRenamed("parent", "__dir")
-        level_rows = mine.join(made, mine["path"] == made["__dir"]).select("path", "parent", "digest")
-        out = level_rows if out is None else out.unionByName(level_rows)
-        known = known.join(mine.select(F.col("path").alias("parent")), "parent", "left_anti").unionByName(level_rows)
-    return out.select("path", "digest")
+        mine = dirs.filter(F.col("depth") == level).select("path", F.col("parent").alias("__up"))
+        held = files if below is None else files.unionByName(below)
+        made = mine.join(held.select(F.col("path").alias("__child"), F.col("parent").alias("path"), "digest"), "path")
+        digests = made.groupBy("path", "__up").agg(_joined_digest("__child").alias("digest"))
+        below = cut(digests.select("path", F.col("__up").alias("parent"), "digest"))
+        out.append(below.select("path", "digest"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def merkle_levels(data_pages: int, fanout: int = 128) -> list[int]:
@@ -93,21 +112,31 @@ def merkle_levels(data_pages: int, fanout: int = 128) -> list[int]:
     return out or [1]
 
 
+def merkle_levels_of(pages: Column, fanout: int = 128, most_levels: int = 9) -> Column:
+    """As ``merkle_levels``, of a column of longs: nine levels of 128 hold any."""
+    sizes, n = [], pages
+    for _ in range(most_levels):
+        n = F.floor((n - 1) / fanout).cast("bigint") + 1
+        sizes.append(n)
+    needed = F.array_position(F.array(*sizes), F.lit(1).cast("bigint"))
+    return F.slice(F.array(*sizes), F.lit(1), needed.cast("int"))
+
+
 def merkle_roots(pages: DataFrame, key: str, fanout: int = 128, most_pages: int | None = None) -> DataFrame:
     """(key, root): the root of a hash tree over the page digests (key, page, digest) of each blob."""
     if most_pages is None:
         most_pages = pages.agg(F.max("page") + 1).first()[0] or 0
     now = pages.select(key, "page", "digest")
     for _ in merkle_levels(most_pages, fanout):
-        digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "digest"))), lambda x: x["digest"]), ""), 256)
-        now = now.groupBy(key, F.floor(F.col("page") / fanout).alias("up")).agg(digest.alias("digest")).select(key, F.col("up").alias("page"), "digest")
+        now = now.groupBy(key, F.floor(F.col("page") / fanout).alias("up")).agg(_joined_digest("page").alias("digest")).select(key, F.col("up").alias("page"), "digest")
     return now.select(key, F.col("digest").alias("root"))
 
 
 def numbered_inodes(nodes: DataFrame, link: list[str], order: list[str]) -> DataFrame:
-    """``number``: inode numbers in order, hard links (equal ``link``) sharing their first's."""
+    """``number``: inode numbers in order, hard links (equal ``link``) sharing their first's. ``order`` begins with a number."""
     first = nodes.groupBy(*link).agg(F.min(F.struct(*order)).alias("__first"))
-    ranked = first.withColumn("number", F.row_number().over(W.partitionBy(link[0]).orderBy("__first")).cast("bigint"))
+    ranked = running(first, [link[0]], F.floor(F.col(f"__first.{order[0]}") / CELL), ["__first"], {}, index="number")
+    ranked = ranked.withColumn("number", F.col("number") + 1)
     return nodes.join(ranked.drop("__first"), link)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quarry import model
 from quarry.functions import scalar
 from quarry.model import CHUNKS, FILES, OPERATIONS
-from quarry.operators import dictionary
+from quarry.operators import dictionary, trees
+from quarry.operators.prefix import CELL_BYTES, running
 from quarry.plans.catalog import query
 from quarry.plans.range_queries import LAYOUT, _layout
 from quarry.sources import formats, sinks
@@ -33,11 +34,11 @@ def image_clusters(spark, sf_dir):
 
 
 @query("cluster_vote", f"""WITH {CHUNKS}, k AS (SELECT DISTINCT image, CAST(substring(image, 4) AS BIGINT) % 3 AS cluster FROM chunks), n AS (SELECT cluster, count(*) n FROM k GROUP BY 1),
-h AS (SELECT cluster, left(digest, 2) digest, count(DISTINCT c.image) images FROM chunks c JOIN k ON k.image = c.image GROUP BY 1, 2)
+h AS (SELECT cluster, left(digest, 1) digest, count(DISTINCT c.image) images FROM chunks c JOIN k ON k.image = c.image GROUP BY 1, 2)
 SELECT h.cluster, digest, images FROM h JOIN n USING (cluster) WHERE images >= n * 0.9""")
 def cluster_vote(spark, sf_dir):
-    """Chunk classes (by the digest's first byte) that nine tenths of a cluster's images have."""
-    chunks = model.chunks(spark, sf_dir).withColumn("digest", F.substring("digest", 1, 2))
+    """Chunk classes (by the digest's first digit) that nine tenths of a cluster's images have."""
+    chunks = model.chunks(spark, sf_dir).withColumn("digest", F.substring("digest", 1, 1))
     clusters = chunks.select("image").distinct().withColumn("cluster", F.substring("image", 4, 9).cast("bigint") % 3)
     return dictionary.cluster_votes(chunks, clusters)
 
@@ -91,14 +92,15 @@ def dict_search_images(spark, sf_dir):
     return dictionary.search_images(items.distinct(), least=5)
 
 
-@query("chunk_compress", f"WITH {CHUNKS} SELECT ino, idx, size, true same FROM chunks WHERE ver = 3")
+@query("chunk_compress", f"WITH {CHUNKS}, c AS (SELECT unnest(['none', 'gzip', 'zstd', 'lz4']) codec) SELECT codec, ino, idx, size, digest FROM chunks CROSS JOIN c")
 def chunk_compress(spark, sf_dir):
-    """Chunks through the codec that keeps bytes as they are where compression doesn't help."""
-    chunks = model.chunks(spark, sf_dir).filter("ver = 3").select("ino", "idx", "size", "digest")
-    bodies = model.files(spark, sf_dir).filter("ver = 3").select("ino", F.encode("text", "UTF-8").alias("body"))
+    """Digests of all chunks after each codec has packed and unpacked them; bytes stay as they are where packing doesn't help."""
+    chunks = model.chunks(spark, sf_dir).select("ino", "idx", "size")
+    bodies = model.files(spark, sf_dir).select("ino", F.encode("text", "UTF-8").alias("body"))
     part = F.expr("substring(body, cast(idx * 4096 + 1 as int), 4096)")
-    packed = chunks.join(bodies, "ino").select("ino", "idx", "size", "digest", scalar.gzip_or_raw(part).alias("packed"))
-    return packed.select("ino", "idx", "size", (F.sha2(scalar.gunzip_or_raw("packed"), 256) == F.col("digest")).alias("same"))
+    pieces = chunks.join(bodies, "ino").select("ino", "idx", "size", part.alias("part"), F.explode(F.array(*[F.lit(c) for c in scalar.CODECS])).alias("codec"))
+    packed = pieces.select("codec", "ino", "idx", "size", scalar.packed("part", "codec").alias("packed"))
+    return packed.select("codec", "ino", "idx", "size", F.sha2(scalar.unpacked("packed", "codec", "size"), 256).alias("digest"))
 
 
 @query("build_output_json", f"""WITH {CHUNKS} SELECT '{{"blobs":'||to_json(list_sort(list(DISTINCT image)))||',"chunks":'||count(*)||'}}' json FROM chunks""")
@@ -130,8 +132,8 @@ def compact_greedy_merge(spark, sf_dir):
 
 @query("sort_dict_chunks", f"""WITH {LAYOUT} SELECT image, comp_offset, digest, row_number() OVER (PARTITION BY image ORDER BY comp_offset, uncomp_offset, digest) - 1 place FROM laid""")
 def sort_dict_chunks(spark, sf_dir):
-    w = W.partitionBy("image").orderBy("comp_offset", "uncomp_offset", "digest")
-    return _layout(spark, sf_dir).select("image", "comp_offset", "digest", (F.row_number().over(w).cast("bigint") - 1).alias("place"))
+    laid, order = _layout(spark, sf_dir), ["comp_offset", "uncomp_offset", "digest"]
+    return running(laid, ["image"], F.floor(F.col("comp_offset") / CELL_BYTES), order, {}, index="place").select("image", "comp_offset", "digest", "place")
 
 
 @query("blobs_by_size", f"WITH {CHUNKS} SELECT image, CAST(sum(comp_size) AS BIGINT) bytes FROM chunks GROUP BY 1 ORDER BY bytes, image LIMIT 5")
@@ -161,19 +163,20 @@ def crc32c_text(spark, sf_dir):
     return model.files(spark, sf_dir).select("ino", scalar.crc32c(F.encode("text", "UTF-8")).alias("crc"))
 
 
-@query("codec_round_trip")
+@query("codec_round_trip", f"WITH {FILES} SELECT ino, size, sha256(text) digest, true smaller FROM files")
 def codec_round_trip(spark, sf_dir):
-    """Compressed sizes, and whether the bytes come back."""
+    """Digests of whole files after compression, and whether it gave no more bytes than there were."""
     body = F.encode("text", "UTF-8")
     packed = model.files(spark, sf_dir).select("ino", "size", body.alias("body")).withColumn("packed", scalar.gzip_or_raw("body"))
-    return packed.select("ino", "size", F.octet_length("packed").alias("packed_size"), (scalar.gunzip_or_raw("packed") == F.col("body")).alias("same"))
+    return packed.select("ino", "size", F.sha2(scalar.gunzip_or_raw("packed"), 256).alias("digest"), (F.octet_length("packed") <= F.col("size")).alias("smaller"))
 
 
-@query("encrypt_round_trip", f"WITH {FILES} SELECT ino, true same, size + 28 AS cipher_size FROM files")
+@query("encrypt_round_trip", f"WITH {FILES} SELECT ino, sha256(text) digest, size + 28 AS cipher_size, true hidden FROM files")
 def encrypt_round_trip(spark, sf_dir):
     body, key = F.encode("text", "UTF-8"), F.lit("0123456789abcdef0123456789abcdef").cast("binary")
     held = model.files(spark, sf_dir).select("ino", body.alias("body")).withColumn("cipher", scalar.encrypted(F.col("body"), key))
-    return held.select("ino", (scalar.decrypted(F.col("cipher"), key) == F.col("body")).alias("same"), F.octet_length("cipher").cast("bigint").alias("cipher_size"))
+    hidden = ~F.contains("cipher", "body") | (F.octet_length("body") == 0)
+    return held.select("ino", F.sha2(scalar.decrypted(F.col("cipher"), key), 256).alias("digest"), F.octet_length("cipher").cast("bigint").alias("cipher_size"), hidden.alias("hidden"))
 
 
 @query("round_up_4k", f"WITH {FILES} SELECT ino, (size+4095)//4096*4096 aligned FROM files")
@@ -181,10 +184,13 @@ def round_up_4k(spark, sf_dir):
     return model.files(spark, sf_dir).select("ino", scalar.round_up(F.col("size")).alias("aligned"))
 
 
-@query("merkle_level_sizes", "SELECT CAST(p_partkey AS BIGINT) pages, CAST(ceil(p_partkey/128.0) AS BIGINT) level1, CAST(ceil(ceil(p_partkey/128.0)/128.0) AS BIGINT) level2 FROM part")
+@query("merkle_level_sizes", """WITH RECURSIVE l(pages, level, n) AS (SELECT DISTINCT CAST(p_size AS BIGINT) * 1000, 1, (CAST(p_size AS BIGINT) * 1000 + 127) // 128 FROM part
+UNION ALL SELECT pages, level + 1, (n + 127) // 128 FROM l WHERE n > 1) SELECT pages, CAST(level AS BIGINT) AS level, n FROM l""")
 def merkle_level_sizes(spark, sf_dir):
-    one = F.ceil(F.col("p_partkey") / 128)
-    return model.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("pages"), one.cast("bigint").alias("level1"), F.ceil(one / 128).cast("bigint").alias("level2"))
+    """Pages of each level of the hash trees over as many thousands of pages as parts have sizes; a tree of 2**63 pages has nine levels."""
+    pages = model.table(spark, sf_dir, "part").select((F.col("p_size").cast("bigint") * 1000).alias("pages")).distinct()
+    levels = trees.merkle_levels_of(F.col("pages"))
+    return pages.select("pages", F.posexplode(levels).alias("place", "n")).select("pages", (F.col("place") + 1).cast("bigint").alias("level"), "n")
 
 
 @query("split_paths", f"WITH {FILES} SELECT ino, '/,'||array_to_string(string_split(path[2:], '/'), ',') parts, CASE WHEN starts_with(path, '/src1/') THEN path[6:] ELSE path END moved FROM files")
@@ -342,7 +348,10 @@ def streaming_first(spark, sf_dir):
     return rows.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(F.count("*").alias("kinds"))
 
 
-@query("streaming_rate_limit")
+@query("streaming_rate_limit", """WITH RECURSIVE n AS (SELECT CAST(user_id AS BIGINT) k, floor(epoch(ts)) t, CAST(trunc(value * 10) AS BIGINT) a, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), trunc(value * 10)) rn FROM events),
+r(k, rn, t, held, waited) AS (SELECT k, rn, t, greatest(2 - a, 0), CAST(greatest(a - 2, 0) AS DOUBLE) FROM n WHERE rn = 1 UNION ALL
+ SELECT n.k, n.rn, n.t, greatest(least(2, r.held + n.t - r.t) - n.a, 0), r.waited + greatest(n.a - least(2, r.held + n.t - r.t), 0) FROM r JOIN n ON n.k = r.k AND n.rn = r.rn + 1)
+SELECT k, max(rn) requests, max(waited) waited FROM r GROUP BY 1""")
 def streaming_rate_limit(spark, sf_dir):
     """A token bucket held as a stream's state."""
     stream = streams.event_stream(spark, sf_dir).withColumn("amount", (F.col("value") * 10).cast("bigint"))
@@ -350,11 +359,11 @@ def streaming_rate_limit(spark, sf_dir):
     return rows.groupBy("k").agg(F.max("requests").alias("requests"), F.round(F.max("waited"), 6).alias("waited"))
 
 
-@query("convert_image", f"""WITH {CHUNKS}, d AS (SELECT digest, min(ino*100000+idx) first FROM chunks GROUP BY 1), m AS (SELECT c.*, c.ino*100000+c.idx = d.first own FROM chunks c JOIN d USING (digest))
+@query("convert_image", f"""WITH {CHUNKS}, d AS (SELECT digest, min((ino, idx)) first FROM chunks GROUP BY 1), m AS (SELECT c.*, (c.ino, c.idx) = d.first own FROM chunks c JOIN d USING (digest))
 SELECT image, count(*) chunks, count(*) FILTER (own) written, CAST(coalesce(sum(comp_size) FILTER (own), 0) AS BIGINT) blob_size, CAST(sum(size) AS BIGINT) image_size FROM m GROUP BY 1""")
 def convert_image(spark, sf_dir):
     """Conversion of all images in order: the chunks and bytes each one's blob gets once earlier chunks are found again."""
-    chunks = model.chunks(spark, sf_dir).withColumn("at", F.col("ino") * 100000 + F.col("idx"))
+    chunks = model.chunks(spark, sf_dir).withColumn("at", F.struct("ino", "idx"))
     first = chunks.groupBy("digest").agg(F.min("at").alias("first"))
     own = F.col("at") == F.col("first")
     return chunks.join(first, "digest").groupBy("image").agg(
@@ -362,10 +371,10 @@ def convert_image(spark, sf_dir):
     )
 
 
-@query("ino_from_path", f"WITH {FILES} SELECT ino, path FROM files WHERE ino%50=7")
+@query("ino_from_path", f"WITH {FILES} SELECT ino, path FROM files")
 def ino_from_path(spark, sf_dir):
     """Inodes of stated paths, joined on the whole path."""
-    wanted = model.files(spark, sf_dir).filter("ino % 50 = 7").select("path")
+    wanted = model.files(spark, sf_dir).select("path").distinct()
     return model.files(spark, sf_dir).join(wanted, "path", "left_semi").select("ino", "path")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry import model
 from quarry.model import CHUNKS, FILES
 from quarry.operators import ranges
-from quarry.operators.prefix import running
+from quarry.operators.prefix import CELL, running, text_cell, with_previous
 from quarry.plans.catalog import query
 from quarry.sources.backends import ranged
 
@@ -28,11 +28,8 @@ def blob_layout_offsets(spark, sf_dir):
 SELECT image, digest, CAST(coalesce(sum(size) OVER (PARTITION BY image ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) file_offset FROM u""")
 def file_offsets(spark, sf_dir):
     """Layout of a dictionary file: each digest once, in order."""
-    from pyspark.sql import Window as W
-
     unique = model.chunks(spark, sf_dir).groupBy("image", "digest").agg(F.max("size").alias("size"))
-    before = W.partitionBy("image").orderBy("digest").rowsBetween(W.unboundedPreceding, -1)
-    return unique.select("image", "digest", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("file_offset"))
+    return running(unique, ["image"], text_cell(F.col("digest")), ["digest"], {"file_offset": F.col("size")}).select("image", "digest", "file_offset")
 
 
 REQUESTS = f"""{FILES}, req AS (SELECT ino, (ino*37)%9000 AS "offset", 1 + (ino*53)%7000 AS length, (size+4095)//4096 AS n_chunks, ino%10=0 AS has_hole FROM files WHERE size > 0)"""
@@ -59,11 +56,11 @@ def chunk_range_overlap(spark, sf_dir):
     return ranges.range_join(chunks, wanted, "ino", 16384, "file_offset", "c_end", "lo", "hi").select("ino", "idx")
 
 
-POINTS = LAYOUT + """, pts AS (SELECT image, (ino*7919) % 90000 AS addr FROM files WHERE ino % 3 = 0)"""
+POINTS = LAYOUT + """, pts AS (SELECT image, (ino*7919) % 90000 AS addr FROM files)"""
 
 
 def _points(spark, sf_dir):
-    return model.files(spark, sf_dir).filter("ino % 3 = 0").select("image", ((F.col("ino") * 7919) % 90000).alias("addr"))
+    return model.files(spark, sf_dir).select("image", ((F.col("ino") * 7919) % 90000).alias("addr"))
 
 
 def _extents(spark, sf_dir):
@@ -74,12 +71,12 @@ def _extents(spark, sf_dir):
 
 @query("point_in_interval", f"""WITH {POINTS} SELECT p.image, p.addr, (SELECT max("index") FROM laid l WHERE l.image=p.image AND l.uncomp_offset <= p.addr AND p.addr < l.uncomp_offset+l.size) idx FROM pts p""")
 def point_in_interval(spark, sf_dir):
-    return ranges.covering(_extents(spark, sf_dir), _points(spark, sf_dir), "image", 4096)
+    return ranges.covering(_extents(spark, sf_dir), _points(spark, sf_dir), "image")
 
 
 @query("point_or_next_chunk", f"""WITH {POINTS} SELECT p.image, p.addr, (SELECT min("index") FROM laid l WHERE l.image=p.image AND p.addr < l.uncomp_offset+l.size) idx FROM pts p""")
 def point_or_next_chunk(spark, sf_dir):
-    return ranges.covering(_extents(spark, sf_dir), _points(spark, sf_dir), "image", 4096, next_if_none=True)
+    return ranges.covering(_extents(spark, sf_dir), _points(spark, sf_dir), "image", next_if_none=True)
 
 
 @query("chunks_covering_uncompressed", f"""WITH {LAYOUT}, s AS (SELECT image, "index", uncomp_offset a, uncomp_offset+size b FROM laid WHERE uncomp_offset < 60000 AND uncomp_offset+size > 10000)
@@ -95,36 +92,38 @@ def chunks_covering_compressed(spark, sf_dir):
     return ranges.chunks_in_range(ext, "comp_offset", "c_end", 10_000, 60_000, "image").select("image", "index", "hole")
 
 
-# Requests of one version read their blob with gaps where the other versions' chunks lie.
-IO = LAYOUT + ", io AS (SELECT image, \"index\", comp_offset a, comp_offset+comp_size b FROM laid WHERE ver < 5)"
+# Chunks as they lie uncompressed: alignment leaves gaps between them.
+IO = LAYOUT + ", io AS (SELECT image, layer, \"index\", uncomp_offset a, uncomp_offset+size b FROM laid)"
 
 
 def _io(spark, sf_dir):
-    return _layout(spark, sf_dir).filter("ver < 5").select("image", "index", F.col("comp_offset").alias("a"), (F.col("comp_offset") + F.col("comp_size")).alias("b"))
+    laid = _layout(spark, sf_dir)
+    return laid.select("image", "layer", "index", F.col("uncomp_offset").alias("a"), (F.col("uncomp_offset") + F.col("size")).alias("b"))
 
 
-@query("continuous_io", f"""WITH {IO} SELECT image, "index", coalesce(a - lag(b) OVER (PARTITION BY image ORDER BY a) <= 4096, false) joins FROM io""")
+@query("continuous_io", f"""WITH {IO} SELECT image, "index", coalesce(a - lag(b) OVER (PARTITION BY image ORDER BY a) <= 1024, false) joins FROM io""")
 def continuous_io(spark, sf_dir):
-    return ranges.continuous(_io(spark, sf_dir), "image", "a", "b", 4096).select("image", "index", "joins")
+    return ranges.continuous(_io(spark, sf_dir), "image", "a", "b", 1024).select("image", "index", "joins")
 
 
-@query("io_merge_islands", f"""WITH {IO}, j AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY image ORDER BY a) <= 4096 THEN 0 ELSE 1 END n FROM io),
+@query("io_merge_islands", f"""WITH {IO}, j AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY image ORDER BY a) <= 1024 THEN 0 ELSE 1 END n FROM io),
 i AS (SELECT *, sum(n) OVER (PARTITION BY image ORDER BY a) k FROM j) SELECT image, min(a) "start", max(b) "end", count(*) chunks FROM i GROUP BY image, k""")
 def io_merge_islands(spark, sf_dir):
-    return ranges.merged_requests(_io(spark, sf_dir), "image", "a", "b", 4096)
+    return ranges.merged_requests(_io(spark, sf_dir), "image", "a", "b", 1024)
 
 
 @query("io_merge_capped", f"""WITH RECURSIVE {IO}, n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY a) rn FROM io),
-r(image, rn, s, e, k) AS (SELECT image, rn, a, b, 1 FROM n WHERE rn = 1 UNION ALL SELECT n.image, n.rn, CASE WHEN n.a - r.e <= 4096 AND r.e - r.s < 16384 THEN r.s ELSE n.a END,
- n.b, CASE WHEN n.a - r.e <= 4096 AND r.e - r.s < 16384 THEN r.k ELSE r.k + 1 END FROM r JOIN n ON n.image = r.image AND n.rn = r.rn + 1)
+r(image, rn, s, e, k) AS (SELECT image, rn, a, b, 1 FROM n WHERE rn = 1 UNION ALL SELECT n.image, n.rn, CASE WHEN n.a - r.e <= 1024 AND r.e - r.s < 16384 THEN r.s ELSE n.a END,
+ n.b, CASE WHEN n.a - r.e <= 1024 AND r.e - r.s < 16384 THEN r.k ELSE r.k + 1 END FROM r JOIN n ON n.image = r.image AND n.rn = r.rn + 1)
 SELECT image, min(s) "start", max(e) "end", count(*) chunks FROM r GROUP BY image, k""")
 def io_merge_capped(spark, sf_dir):
-    return ranges.capped_requests(_io(spark, sf_dir), "image", "a", "b", 4096, 16_384)
+    return ranges.capped_requests(_io(spark, sf_dir), "image", "a", "b", 1024, 16_384)
 
 
-@query("consecutive_runs", f"""WITH {IO}, g AS (SELECT image, "index" - row_number() OVER (PARTITION BY image ORDER BY "index") k, "index" x FROM io) SELECT image, min(x) first, max(x) "last" FROM g GROUP BY image, k""")
+@query("consecutive_runs", f"""WITH {IO}, g AS (SELECT image, layer, "index" - row_number() OVER (PARTITION BY image, layer ORDER BY "index") k, "index" x FROM io) SELECT image, layer, min(x) first, max(x) "last" FROM g GROUP BY image, layer, k""")
 def consecutive_runs(spark, sf_dir):
-    return ranges.id_runs(_io(spark, sf_dir), "image", "index")
+    """Runs of consecutive chunk indexes of each layer in its blob."""
+    return ranges.id_runs(_io(spark, sf_dir), ["image", "layer"], "index")
 
 
 _STRIP = LAYOUT + ", r AS (SELECT image, \"index\", digest < '8' ready FROM laid), e AS (SELECT image, min(\"index\") lo, max(\"index\") hi FROM r WHERE NOT ready GROUP BY 1)"
@@ -145,7 +144,7 @@ def strip_ready_both(spark, sf_dir):
 @query("extend_request", f"""WITH {IO}, q AS (SELECT image, min(a) AS "start", min(b) AS "end" FROM io GROUP BY 1)
 SELECT q.image, q."start", q."end", greatest(q."end", (SELECT max(b) FROM io WHERE io.image=q.image AND b <= greatest(q."end", q."start"+20000))) new_end FROM q""")
 def extend_request(spark, sf_dir):
-    chunks = _io(spark, sf_dir)
+    chunks = _io(spark, sf_dir).drop("layer")
     asked = chunks.groupBy("image").agg(F.min("a").alias("start"), F.min("b").alias("end"))
     return ranges.extended(asked, chunks, "image", 20_000, "a", "b").select("image", "start", "end", "new_end")
 
@@ -155,11 +154,11 @@ def read_amplification(spark, sf_dir):
     return ranges.amplified(model.files(spark, sf_dir), "image", "ino").select("ino", "ahead")
 
 
-_HOLES = FILES + ", h AS (SELECT image, ino AS \"offset\", 1 + ino%2 AS size FROM files WHERE ino%7<>0), n AS (SELECT *, lead(\"offset\") OVER w nx, lead(\"offset\",2) OVER w af FROM h WINDOW w AS (PARTITION BY image ORDER BY \"offset\"))"
+_HOLES = FILES + ", h AS (SELECT image, ino AS \"offset\", 1 + ino%2 AS size FROM files), n AS (SELECT *, lead(\"offset\") OVER w nx, lead(\"offset\",2) OVER w af FROM h WINDOW w AS (PARTITION BY image ORDER BY \"offset\"))"
 
 
 def _pieces(spark, sf_dir):
-    return model.files(spark, sf_dir).filter("ino % 7 <> 0").select("image", F.col("ino").alias("offset"), (1 + F.col("ino") % 2).alias("size"))
+    return model.files(spark, sf_dir).select("image", F.col("ino").alias("offset"), (1 + F.col("ino") % 2).alias("size"))
 
 
 @query("hole_check", f"""WITH {_HOLES} SELECT image, "offset", size FROM n WHERE nx <> "offset"+size AND af IS NOT NULL""")
@@ -204,43 +203,50 @@ def file_read(spark, sf_dir):
     return joined.select("ino", "idx", a.alias("chunk_start"), b.alias("chunk_end"))
 
 
-@query("io_by_blob", f"WITH {CHUNKS} SELECT image, layer, count(*) chunks, CAST(sum(comp_size) AS BIGINT) bytes FROM chunks WHERE idx < 2 GROUP BY 1, 2")
+@query("io_by_blob", f"WITH {CHUNKS} SELECT image, layer, count(*) chunks, CAST(sum(comp_size) AS BIGINT) bytes FROM chunks GROUP BY 1, 2")
 def io_by_blob(spark, sf_dir):
-    return model.chunks(spark, sf_dir).filter("idx < 2").groupBy("image", "layer").agg(F.count("*").alias("chunks"), F.sum("comp_size").alias("bytes"))
+    return model.chunks(spark, sf_dir).groupBy("image", "layer").agg(F.count("*").alias("chunks"), F.sum("comp_size").alias("bytes"))
 
 
 @query("bio_vectors", f"""WITH {CHUNKS}, b AS (SELECT ver, ino, idx, image, CASE WHEN image = lag(image) OVER (PARTITION BY ver ORDER BY ino, idx) THEN 0 ELSE 1 END n FROM chunks),
 k AS (SELECT *, sum(n) OVER (PARTITION BY ver ORDER BY ino, idx) vec FROM b) SELECT ver, CAST(vec AS BIGINT) vec, image, count(*) chunks FROM k GROUP BY 1, 2, 3""")
 def bio_vectors(spark, sf_dir):
     """Runs of chunks of one blob in reading order."""
-    from pyspark.sql import Window as W
+    chunks, cell, order = model.chunks(spark, sf_dir).select("ver", "ino", "idx", "image"), F.floor(F.col("ino") / CELL), ["ino", "idx"]
+    marked = with_previous(chunks, ["ver"], cell, order, {"before": F.col("image")})
+    first = F.when(F.col("before") == F.col("image"), 0).otherwise(1).cast("bigint")
+    vec = (F.col("vec") + first).alias("vec")
+    return running(marked, ["ver"], cell, order, {"vec": first}).select("ver", "image", vec).groupBy("ver", "vec", "image").agg(F.count("*").alias("chunks"))
+
 
-    w = W.partitionBy("ver").orderBy("ino", "idx")
-    marked = model.chunks(spark, sf_dir).withColumn("n", F.when(F.lag("image").over(w) == F.col("image"), 0).otherwise(1))
-    vec = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("vec")
-    return marked.select("ver", "image", vec).groupBy("ver", "vec", "image").agg(F.count("*").alias("chunks"))
+_STATES = "CASE WHEN digest < '4' THEN 'CacheFast' WHEN digest < '8' THEN 'CacheSlow' ELSE 'Backend' END"
 
 
-@query("dispatch_regions", f"""WITH {CHUNKS} SELECT image, CASE WHEN digest < '4' THEN 'CacheFast' WHEN digest < '8' THEN 'CacheSlow' ELSE 'Backend' END region, count(*) chunks, CAST(sum(size) AS BIGINT) bytes FROM chunks GROUP BY 1, 2""")
+@query("dispatch_regions", f"""WITH {CHUNKS}, s AS (SELECT ino, idx, file_offset a, file_offset+size b, {_STATES} state FROM chunks),
+n AS (SELECT *, CASE WHEN lag(state) OVER w = state AND lag(b) OVER w = a THEN 0 ELSE 1 END n FROM s WINDOW w AS (PARTITION BY ino ORDER BY idx)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY ino ORDER BY idx) region FROM n)
+SELECT ino, CAST(region AS BIGINT) region, state AS type, min(a) "start", max(b) "end", count(*) chunks FROM r GROUP BY 1, 2, 3""")
 def dispatch_regions(spark, sf_dir):
-    region = F.when(F.col("digest") < "4", "CacheFast").when(F.col("digest") < "8", "CacheSlow").otherwise("Backend")
-    return model.chunks(spark, sf_dir).groupBy("image", region.alias("region")).agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"))
+    """Regions of a request for a whole file: chunks ready, ready after a check, and not ready; a digest's first digit stands for the state."""
+    state = F.when(F.col("digest") < "4", ranges.CACHE_FAST).when(F.col("digest") < "8", ranges.CACHE_SLOW).otherwise(ranges.BACKEND)
+    chunks = model.chunks(spark, sf_dir).select("ino", "idx", F.col("file_offset").alias("a"), (F.col("file_offset") + F.col("size")).alias("b"), state.alias("state"))
+    return ranges.regions(chunks, "ino", "idx", "a", "b", "state")
 
 
-@query("block_export", f"""WITH {CHUNKS}, e AS (SELECT image, 0 kind, 0 pos, CAST(64*count(*) AS BIGINT) len FROM chunks GROUP BY 1 UNION ALL SELECT image, 1, ino*1000+idx, comp_size FROM chunks)
-SELECT image, kind, pos, CAST(coalesce(sum((len+4095)//4096) OVER (PARTITION BY image ORDER BY kind, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) block FROM e""")
+@query("block_export", f"""WITH {CHUNKS}, e AS (SELECT image, 0 kind, CAST(0 AS BIGINT) ino, CAST(0 AS BIGINT) idx, CAST(64*count(*) AS BIGINT) len FROM chunks GROUP BY 1 UNION ALL SELECT image, 1, ino, idx, comp_size FROM chunks)
+SELECT image, kind, ino, idx, CAST(coalesce(sum((len+4095)//4096) OVER (PARTITION BY image ORDER BY kind, ino, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) block FROM e""")
 def block_export(spark, sf_dir):
     """First block of each extent when metadata and data are flattened to a disk."""
-    chunks = model.chunks(spark, sf_dir)
-    meta = chunks.groupBy("image").agg((64 * F.count("*")).alias("len")).select("image", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("pos"), "len")
-    data = chunks.select("image", F.lit(1).alias("kind"), (F.col("ino") * 1000 + F.col("idx")).alias("pos"), F.col("comp_size").alias("len"))
-    cell = F.col("kind") * F.lit(1 << 40).cast("bigint") + F.floor(F.col("pos") / (1000 * ranges.CELL))
-    placed = running(meta.unionByName(data), ["image"], cell, ["kind", "pos"], {"block": F.ceil(F.col("len") / 4096).cast("bigint")})
-    return placed.select("image", "kind", "pos", "block")
+    chunks, none = model.chunks(spark, sf_dir), F.lit(0).cast("bigint")
+    meta = chunks.groupBy("image").agg((64 * F.count("*")).alias("len")).select("image", F.lit(0).alias("kind"), none.alias("ino"), none.alias("idx"), "len")
+    data = chunks.select("image", F.lit(1).alias("kind"), "ino", "idx", F.col("comp_size").alias("len"))
+    cell = F.col("kind") + F.floor(F.col("ino") / CELL)
+    placed = running(meta.unionByName(data), ["image"], cell, ["kind", "ino", "idx"], {"block": F.ceil(F.col("len") / 4096).cast("bigint")})
+    return placed.select("image", "kind", "ino", "idx", "block")
 
 
 @query("extent_lookup", """WITH x AS (SELECT CAST(p_partkey AS BIGINT) k, p_partkey*10 lo, p_partkey*10 + p_partkey%8 hi, CASE p_partkey%3 WHEN 0 THEN 'meta' ELSE 'data' END kind FROM part),
-b AS (SELECT CAST(o_orderkey AS BIGINT) block FROM orders WHERE o_orderkey < 3000)
+b AS (SELECT CAST(o_orderkey AS BIGINT) block FROM orders)
 SELECT block, coalesce(kind, 'hole') kind FROM b LEFT JOIN x ON block BETWEEN lo AND hi""")
 def extent_lookup(spark, sf_dir):
     """What each block is: metadata, data or a hole."""
@@ -248,6 +254,6 @@ def extent_lookup(spark, sf_dir):
     k = F.col("p_partkey").cast("bigint")
     extents = part.select(F.lit(0).alias("disk"), k.alias("idx"), (k * 10).alias("start"), (k * 10 + k % 8 + 1).alias("end"))
     kinds = part.select(k.alias("idx"), F.when(k % 3 == 0, "meta").otherwise("data").alias("kind"))
-    blocks = model.table(spark, sf_dir, "orders").filter("o_orderkey < 3000").select((F.col("o_orderkey").cast("bigint") % 1).cast("int").alias("disk"), F.col("o_orderkey").cast("bigint").alias("addr"))
-    found = ranges.covering(extents, blocks, "disk", 4096).join(kinds, "idx", "left")
+    blocks = model.table(spark, sf_dir, "orders").select(F.lit(0).alias("disk"), F.col("o_orderkey").cast("bigint").alias("addr"))
+    found = ranges.covering(extents, blocks, "disk", 1 << 16).join(kinds, "idx", "left")
     return found.select(F.col("addr").alias("block"), F.coalesce("kind", F.lit("hole")).alias("kind"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry import model
 from quarry.model import CHUNKS, ENTRIES, FILES
 from quarry.operators import overlay, trees
+from quarry.operators.prefix import CELL, running
 from quarry.plans.catalog import query
 
 _NAMED = ENTRIES + """, named AS (SELECT *, regexp_extract(path, '[^/]*$') nm, regexp_replace(path, '/[^/]*$', '') up FROM entries),
@@ -146,10 +146,12 @@ def tree_paths(spark, sf_dir):
     return trees.paths_by_parent(rows)
 
 
-@query("node_by_path", f"WITH {FILES} SELECT ino, path FROM files WHERE path IN ('/src3/en/43', '/src0/en/100', '/nowhere')")
+@query("node_by_path", f"WITH {FILES} SELECT ino, path FROM files WHERE path IN (SELECT min(path) FROM files GROUP BY image) OR path = '/nowhere'")
 def node_by_path(spark, sf_dir):
-    wanted = spark.createDataFrame([("/src3/en/43",), ("/src0/en/100",), ("/nowhere",)], "path string")
-    return model.files(spark, sf_dir).join(F.broadcast(wanted), "path").select("ino", "path")
+    """Nodes of stated paths: the first of each image, and one that there isn't."""
+    files = model.files(spark, sf_dir)
+    wanted = files.groupBy("image").agg(F.min("path").alias("path")).select("path").unionByName(spark.createDataFrame([("/nowhere",)], "path string"))
+    return files.join(wanted, "path", "left_semi").select("ino", "path")
 
 
 @query("child_by_name", f"WITH {FILES} SELECT ino FROM files WHERE parent = '/src1/en' AND name = '21'")
@@ -196,8 +198,7 @@ def dir_digest(spark, sf_dir):
 a AS (SELECT image, page//8 page, sha256(string_agg(digest, '' ORDER BY page)) digest FROM p GROUP BY 1, 2), b AS (SELECT image, page//8 page, sha256(string_agg(digest, '' ORDER BY page)) digest FROM a GROUP BY 1, 2),
 c AS (SELECT image, page//8 page, sha256(string_agg(digest, '' ORDER BY page)) digest FROM b GROUP BY 1, 2) SELECT image, digest AS root FROM c""")
 def merkle_root(spark, sf_dir):
-    page = F.row_number().over(W.partitionBy("image").orderBy("ino", "idx")).cast("bigint") - 1
-    pages = model.chunks(spark, sf_dir).withColumn("page", page)
+    pages = running(model.chunks(spark, sf_dir), ["image"], F.floor(F.col("ino") / CELL), ["ino", "idx"], {}, index="page")
     return trees.merkle_roots(pages, "image", fanout=8, most_pages=512)
 
 
@@ -270,8 +271,9 @@ def prefetch_order(spark, sf_dir):
     up = F.concat(overlay.ancestors(F.col("path")), F.array("path"))
     spread = model.files(spark, sf_dir).select("ino", F.explode(up).alias("pattern"))
     place = spread.join(F.broadcast(_patterns(spark)), "pattern", "left").groupBy("ino").agg(F.min("place").alias("place"))
-    rank = F.row_number().over(W.partitionBy(F.col("place").isNull()).orderBy("place", "ino")).cast("bigint") - 1
-    return place.select("ino", rank.alias("rank"), F.col("place").isNotNull().alias("prefetch"))
+    cell = F.coalesce("place", F.lit(0)) * F.lit(1 << 40) + F.floor(F.col("ino") / CELL)
+    ranked = running(place.withColumn("prefetch", F.col("place").isNotNull()), ["prefetch"], cell, ["place", "ino"], {}, index="rank")
+    return ranked.select("ino", "rank", "prefetch")
 
 
 @query("prefetch_files", f"""WITH {FILES}, {_PATTERNS} SELECT DISTINCT sha256(text) link, min(ino) OVER (PARTITION BY sha256(text)) ino FROM files f WHERE EXISTS (SELECT 1 FROM pats p WHERE f.path = p.pattern OR starts_with(f.path, p.pattern||'/'))""")
@@ -282,10 +284,12 @@ def prefetch_files(spark, sf_dir):
     return files.join(hit, "path", "left_semi").groupBy("link").agg(F.min("ino").alias("ino"))
 
 
-@query("inspect_prefetch", f"WITH {FILES}, {_PATTERNS} SELECT ino, path FROM files f WHERE EXISTS (SELECT 1 FROM pats p WHERE f.path = p.pattern)")
+@query("inspect_prefetch", f"WITH {FILES}, {_PATTERNS} SELECT ino, path FROM files f WHERE EXISTS (SELECT 1 FROM pats p WHERE f.path = p.pattern) OR path IN (SELECT max(path) FROM files GROUP BY image)")
 def inspect_prefetch(spark, sf_dir):
-    wanted = _patterns(spark).select(F.col("pattern").alias("path")).distinct()
-    return model.files(spark, sf_dir).join(F.broadcast(wanted), "path").select("ino", "path")
+    """Files that a prefetch table names: the patterns and the last file of each image."""
+    files = model.files(spark, sf_dir)
+    wanted = _patterns(spark).select(F.col("pattern").alias("path")).unionByName(files.groupBy("image").agg(F.max("path").alias("path")).select("path"))
+    return files.join(wanted, "path", "left_semi").select("ino", "path")
 
 
 @query("external_paths", f"WITH {FILES} SELECT path, starts_with(path, '/src1/') OR path = '/src3/de/7' external FROM files")

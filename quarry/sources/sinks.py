@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.prefix import running, text_cell
+
 
 def write_chunks(chunks: DataFrame, path: str, codec: str = "zstd") -> None:
     """Chunk rows as compressed Parquet, ordered inside each part."""
@@ -33,10 +35,7 @@ def as_json(rows: DataFrame) -> DataFrame:
 
 def contents_table(entries: DataFrame) -> DataFrame:
     """Table of contents of a blob (blob, name, size): offsets and a digest of the table."""
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy("blob").orderBy("name").rowsBetween(W.unboundedPreceding, -1)
-    return entries.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return running(entries, ["blob"], text_cell(F.col("name")), ["name"], {"offset": F.col("size")})
 
 
 def as_tar(files: DataFrame, group: str) -> DataFrame:
