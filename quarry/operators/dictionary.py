@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,8 +88,16 @@ def radii(low: float = 0.5, step: float = 0.05, high: float = 0.9) -> list[float
     return out
 
 
-#: Most images whose distances the driver clusters.
-MOST_IMAGES = 20_000
+#: Most images, and pairs of near ones (about 150 bytes each), that the driver clusters.
+MOST_IMAGES, MOST_PAIRS = 20_000, 5_000_000
+
+
+def near_pairs(chunks: DataFrame, radius: float) -> list[tuple[str, str, float]]:
+    """Pairs of images within a radius; more than the driver holds are an error."""
+    rows = distances(chunks).filter(F.col("distance") <= radius).limit(MOST_PAIRS + 1).collect()
+    if len(rows) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of near images: cluster groups of them apart")
+    return [(r["a"], r["b"], r["distance"]) for r in rows]
 
 
 def cluster_images(chunks: DataFrame, least: int = 10, radius_list: list[float] | None = None) -> DataFrame:
@@ -98,7 +107,7 @@ def cluster_images(chunks: DataFrame, least: int = 10, radius_list: list[float]
     if len(images) > MOST_IMAGES:
         raise ValueError(f"more than {MOST_IMAGES} images: cluster groups of them apart")
     steps = radii() if radius_list is None else radius_list
-    near = [(r["a"], r["b"], r["distance"]) for r in distances(chunks).filter(F.col("distance") <= max(steps)).collect()]
+    near = near_pairs(chunks, max(steps))
     clusters = Clusters(images, least)
     for radius in steps:
         clusters.grow(neighbours(near, radius))
@@ -126,12 +135,13 @@ def split_versions(chunks: DataFrame, share: float = 0.7) -> DataFrame:
     return chunks.join(ranked.select("image", "version", part.alias("part")), ["image", "version"])
 
 
-def smoothed(rows: DataFrame, alpha: float = 0.5, span: int = 50) -> DataFrame:
+def smoothed(rows: DataFrame, alpha: float = 0.5) -> DataFrame:
     """``score`` of each row (image, ver, pos, digest): exponential smoothing, in row order, of whether its digest is in the version before.
 
-    Rows of an image's first version have score 0. Weights halve with each row, so beyond ``span``
-    rows back they are below the precision of a double and the sum over a window is the recurrence.
+    Rows of an image's first version have score 0. A weight shrinks by 1 - alpha with each row, so from
+    some row back on all together are below the precision of a double and the sum over a window is the recurrence.
     """
+    span = 0 if alpha == 1 else math.ceil(-52 * math.log(2) / math.log(1 - alpha))
     vers = rows.select("image", "ver").distinct()
     before = vers.withColumn("prev", F.lag("ver").over(W.partitionBy("image").orderBy("ver")))
     held = rows.select("image", F.col("ver").alias("prev"), "digest").distinct().withColumn("__held", F.lit(1.0))
@@ -182,7 +192,7 @@ def search_images(chunks: DataFrame, least: int = 10, rounds: int = 7, enough: f
             break
         if len(images) > MOST_IMAGES:
             raise ValueError(f"more than {MOST_IMAGES} images: search groups of them apart")
-        near = [(r["a"], r["b"], r["distance"]) for r in distances(train).filter(F.col("distance") <= max(steps)).collect()]
+        near = near_pairs(train, max(steps))
         clusters, best, least_left, before = Clusters(images, least), None, None, None
         for radius in steps:
             labels = dict(clusters.grow(neighbours(near, radius)))

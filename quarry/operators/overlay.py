@@ -8,6 +8,8 @@ aggregation, for any number of layers at once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,3 +114,34 @@ def keep_recent(old: DataFrame, new: DataFrame, key: str, order: str, most: int)
     kept = a.unionByName(b).orderBy("__age", "__order", key).limit(most)
     rows = kept.groupBy(F.lit(1)).agg(F.array_sort(F.collect_list(F.struct("__age", "__order", key))).alias("x"))  # at most ``most``
     return rows.select(F.posexplode("x").alias("place", "r")).select(F.col("place").cast("bigint").alias("place"), f"r.{key}")
+
+
+def committed(changes: DataFrame) -> DataFrame:
+    """(path, is_marker) of the layer that makes ``changes`` (path, change): added and modified paths, and a marker for each deleted one.
+
+    A path below a deleted directory needs no marker of its own.
+    """
+    gone = changes.filter("change = 'Delete'").select("path")
+    above = gone.select("path", F.explode(ancestors(F.col("path"))).alias("above"))
+    covered = above.join(gone.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
+    top = gone.join(covered, "path", "left_anti")
+    marker = F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/" + PREFIX), base_name(F.col("path")))
+    stay = changes.filter("change <> 'Delete'").select("path", F.lit(False).alias("is_marker"))
+    return stay.unionByName(top.select(marker.alias("path"), F.lit(True).alias("is_marker")))
+
+
+def broken_rules(files: DataFrame, chunks: DataFrame, blobs: DataFrame, chunk_size: int) -> DataFrame:
+    """(rule, ino): files whose chunks don't add up to their size or leave holes, and a row for each unsound chunk or unknown blob.
+
+    ``files`` has ino and size, ``chunks`` ino, idx, image, size and digest, ``blobs`` the known images.
+    """
+    per = chunks.groupBy("ino").agg(F.sum("size").alias("held"), F.count("*").alias("n"), (F.max("idx") + 1).alias("last"))
+    sizes = files.select("ino", "size").join(per, "ino", "left")
+    unsound = (F.col("size") > chunk_size) | (F.col("size") <= 0) | (F.length("digest") != 64)
+    broken = {
+        "size": sizes.filter(F.coalesce("held", F.lit(0)) != F.col("size")),
+        "holes": per.filter("n <> last"),
+        "chunk": chunks.filter(unsound),
+        "blob": chunks.join(blobs.select("image").distinct(), "image", "left_anti"),
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(rule).alias("rule"), "ino") for rule, rows in broken.items()])

@@ -41,6 +41,13 @@ def depth_first(nodes: DataFrame) -> DataFrame:
     return running(walked, ["top"], text_cell(F.get(parts, F.lit(2))), ["__key"], {}, index="order").drop("__key")
 
 
+def depth_last(nodes: DataFrame) -> DataFrame:
+    """``order``: the place of each node (path, is_dir) in a walk that visits a directory after all below it, within its top directory."""
+    after = F.when(F.col("is_dir"), F.array(F.lit("\U0010ffff"))).otherwise(F.array().cast("array<string>"))
+    walked = nodes.withColumns({"top": F.element_at(F.split("path", "/"), 2), "__key": F.concat(walk_key(F.col("path")), after)})
+    return running(walked, ["top"], text_cell(F.get("__key", F.lit(1))), ["__key"], {}, index="order").drop("__key")
+
+
 def children(nodes: DataFrame, parent: str) -> DataFrame:
     """Children of a directory with their index in name order."""
     return child_index(nodes.filter(F.col("parent") == parent))

@@ -117,11 +117,13 @@ def dict_completion(spark, sf_dir):
     return dictionary.completed(chunks.filter("digest < '02'").select("image", "digest", "size").distinct(), chunks)
 
 
-@query("compact_greedy_merge", f"""WITH RECURSIVE {CHUNKS}, b AS (SELECT image, CAST(sum(comp_size) AS BIGINT) s FROM chunks GROUP BY 1 HAVING sum(comp_size) <= 400000),
-n AS (SELECT image, s, c, row_number() OVER (PARTITION BY c ORDER BY s, image) rn FROM (SELECT *, CAST(floor(ln(greatest(s, 1)) / ln(16)) AS BIGINT) c FROM b)),
-r(image, c, rn, k, "offset", total) AS (SELECT image, c, rn, 0, CAST(0 AS BIGINT), s FROM n WHERE rn = 1 UNION ALL SELECT n.image, n.c, n.rn, r.k + CASE WHEN r.total + n.s > 400000 THEN 1 ELSE 0 END,
- CASE WHEN r.total + n.s > 400000 THEN 0 ELSE r.total END, n.s + CASE WHEN r.total + n.s > 400000 THEN 0 ELSE r.total END FROM r JOIN n ON n.c = r.c AND n.rn = r.rn + 1)
-SELECT image, c||'-'||k merged, "offset" FROM r""")
+_SMALL = f"""{CHUNKS}, b AS (SELECT image, CAST(sum(comp_size) AS BIGINT) s FROM chunks GROUP BY 1 HAVING sum(comp_size) <= 400000),
+n AS (SELECT image, s, row_number() OVER (ORDER BY s, image) rn FROM b),
+r(image, rn, k, "offset", total) AS (SELECT image, rn, CAST(0 AS BIGINT), CAST(0 AS BIGINT), s FROM n WHERE rn = 1 UNION ALL SELECT n.image, n.rn, r.k + CASE WHEN r.total + n.s > 400000 THEN 1 ELSE 0 END,
+ CASE WHEN r.total + n.s > 400000 THEN 0 ELSE r.total END, n.s + CASE WHEN r.total + n.s > 400000 THEN 0 ELSE r.total END FROM r JOIN n ON n.rn = r.rn + 1)"""
+
+
+@query("compact_greedy_merge", f"""WITH RECURSIVE {_SMALL} SELECT image, k merged, "offset" FROM r""")
 def compact_greedy_merge(spark, sf_dir):
     """Small blobs merged in order of size while a merged blob stays within a bound."""
     from quarry.operators.compaction import greedy_merge

@@ -32,3 +32,22 @@ def retry_decision(status: Column, tried: Column, prefetch: Column) -> Column:
     left = tried < F.when(prefetch, 1).otherwise(3)
     again = F.when(status == 429, "retry without proxy").otherwise("retry")
     return F.when(status == 200, "done").when(status == 403, "fail").when(left, again).otherwise("fail")
+
+
+def vectored(content: Column, ranges: Column) -> Column:
+    """Bytes of each of several ranges (offset, length) of a blob, in one pass; null for a range that it is too short for."""
+    return F.transform(ranges, lambda r: ranged(content, r["offset"], r["length"]))
+
+
+def streamed(blobs: DataFrame, content: str, piece: int) -> DataFrame:
+    """``blobs`` as a sequence of pieces (offset, part) of at most ``piece`` bytes, in place of the content."""
+    size = F.octet_length(content)
+    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(piece))).otherwise(F.array().cast("array<int>"))
+    cut = blobs.withColumn("offset", F.explode(starts))
+    part = F.substring(F.col(content), F.col("offset") + 1, F.lit(piece))
+    return cut.withColumns({"part": part, "offset": F.col("offset").cast("bigint")}).drop(content)
+
+
+def retry_delay(tried: Column, first_ms: int = 100, most_ms: int = 10_000) -> Column:
+    """Milliseconds to wait before the next try: twice as long each time, up to a bound."""
+    return F.least(F.lit(first_ms) * F.pow(F.lit(2.0), tried), F.lit(float(most_ms))).cast("bigint")

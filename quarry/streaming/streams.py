@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.streaming.state import bucket
+from quarry.streaming.state import Bucket, draw
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", files: int = 1) -> DataFrame:
@@ -33,21 +33,18 @@ def limited(stream: DataFrame, key: str, amount: str, rate: int) -> DataFrame:
     """(key, requests, waited): a token bucket held as state for each key."""
 
     def step(group, frames: Iterator[pd.DataFrame], state):
-        held, at, n, waited = state.get if state.exists else (2 * rate, None, 0, 0.0)
-        consume = bucket(rate)
+        level, since, n, waited = state.get if state.exists else (None, None, 0, 0.0)
+        bucket = None if level is None else Bucket(level, since)
         rows = pd.concat(list(frames)).sort_values(["t", "a"])
-        if at is not None:
-            consume(at, 2 * rate - held)
         for t, a in zip(rows["t"], rows["a"]):
-            waited += consume(t, int(a))
-            n += 1
-        last = consume.__closure__
-        inner = next(c.cell_contents for c in last if isinstance(c.cell_contents, dict))
-        state.update((int(inner["held"]), float(inner["at"]), n, waited))
+            bucket, wait = draw(bucket, t, int(a), rate)
+            waited += wait
+        n += len(rows)
+        state.update((bucket.level, float(bucket.since), n, waited))
         yield pd.DataFrame({"k": [group[0]], "requests": [n], "waited": [waited]})
 
     rows = stream.select(F.col(key).cast("bigint").alias("k"), F.unix_timestamp("ts").cast("double").alias("t"), F.col(amount).cast("bigint").alias("a"))
-    return rows.groupBy("k").applyInPandasWithState(step, "k bigint, requests bigint, waited double", "held bigint, at double, n bigint, waited double", "update", "NoTimeout")
+    return rows.groupBy("k").applyInPandasWithState(step, "k bigint, requests bigint, waited double", "level bigint, since double, n bigint, waited double", "update", "NoTimeout")
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalar
 from quarry.model import fixed_chunks
-from quarry.operators import compaction, dedup, dictionary, metrics, overlay, ranges, trees
+from quarry.operators import compaction, dedup, dictionary, metrics, overlay, prefix, ranges, trees
+from quarry.sources.store import ChunkStore
 from quarry.streaming import state, streams
 
 
@@ -103,8 +104,11 @@ def test_merkle_levels_and_walk_order(spark):
 
 
 def test_buckets_wait_when_empty():
-    consume = state.bucket(10)
-    assert [consume(0, 20), consume(0, 5), consume(1, 10), consume(1.05, 1)] == [0.0, 0.5, 0.0, 0.1]
+    bucket, waits = None, []
+    for now, amount in [(0, 20), (0, 5), (1, 10), (1.05, 1), (9, 25), (9, 0)]:
+        bucket, wait = state.draw(bucket, now, amount, 10)
+        waits.append(wait)
+    assert waits == [0.0, 0.5, 0.0, 0.1, 0.5, 0.0] and bucket == state.Bucket(0, 9)
 
 
 def test_streams_equal_batches(spark, sf_dir):
@@ -118,3 +122,79 @@ def test_statistics_count_links_once(spark):
     chunks = spark.createDataFrame([("i", "x")], "image string, digest string")
     row = dedup.image_statistics(files, chunks).first()
     assert (row["files"], row["links"], row["bytes"], row["padding"], row["chunks"]) == (3, 2, 4106, 4086, 1)
+
+
+def test_point_lookups_equal_a_loop_in_cells_of_any_width(spark):
+    rng = random.Random(6)
+    rows, at = [], 0
+    for i in range(120):
+        at += rng.choice([0, 0, 5, 300])
+        rows.append(("k", i, at, at + rng.randrange(1, 40)))
+        at = rows[-1][3]
+    points = [rng.randrange(at + 50) for _ in range(300)]
+    chunks, asked = spark.createDataFrame(rows, "k string, idx bigint, start bigint, end bigint"), spark.createDataFrame([("k", p) for p in points], "k string, addr bigint")
+    for width in (1, 17, 1000, 1 << 28):
+        for following in (False, True):
+            got = sorted(((r["addr"], r["idx"]) for r in ranges.covering(chunks, asked, "k", width, next_if_none=following).collect()), key=str)
+            one = lambda p: next((i for _, i, a, b in rows if a <= p < b), next((i for _, i, a, b in rows if p < b), None) if following else None)
+            assert got == sorted(((p, one(p)) for p in points), key=str), (width, following)
+
+
+def test_neighbours_and_running_sums_cross_cells(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), n) for n in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "g string, n bigint")
+    for width in (1, 10, 10_000):
+        told = prefix.with_previous(df, ["g"], F.floor(F.col("n") / width), ["n"], {"before": F.col("n")}).collect()
+        summed = prefix.running(df, ["g"], F.floor(F.col("n") / width), ["n"], {"sum": F.col("n")}, index="nth").collect()
+        for g in "ab":
+            own = sorted(n for x, n in rows if x == g)
+            assert sorted(((r["n"], r["before"]) for r in told if r["g"] == g)) == list(zip(own, [None, *own]))
+            assert sorted((r["n"], r["sum"], r["nth"]) for r in summed if r["g"] == g) == [(n, sum(own[:i]), i) for i, n in enumerate(own)]
+    texts = ["", "a", "ab", "b", "zz", "é", "\U0010ffff", None]
+    cells = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(prefix.text_cell(F.col("t"))).collect()]
+    assert cells[:-1] == sorted(cells[:-1]) and cells[-1] == -1
+
+
+def test_paths_of_a_deep_tree_and_of_nodes_without_a_root(spark):
+    rows = [(0, None, "")] + [(i, i - 1, f"n{i}") for i in range(1, 300)] + [(1000, 999, "lost"), (2000, 0, "x")]
+    got = dict(tuple(r) for r in trees.paths_by_parent(spark.createDataFrame(rows, "ino bigint, parent_ino bigint, name string")).collect())
+    assert got[0] == "/" and got[3] == "/n1/n2/n3" and got[299].count("/") == 299 and got[2000] == "/x" and 1000 not in got
+
+
+def test_levels_of_hash_trees_by_column(spark):
+    pages = [1, 2, 127, 128, 129, 16_384, 16_385, 10**9, 1 << 62]
+    got = spark.createDataFrame([(p,) for p in pages], "p bigint").select("p", trees.merkle_levels_of(F.col("p")).alias("l")).collect()
+    assert all(r["l"] == trees.merkle_levels(r["p"]) for r in got)
+
+
+def test_codecs_give_back_the_bytes(spark):
+    bodies = [b"", b"x", b"abc" * 1000, bytes(range(256)), None]
+    rows = [(b, c, len(b or b"")) for b in bodies for c in scalar.CODECS]
+    packed = spark.createDataFrame(rows, "b binary, c string, n bigint").withColumn("p", scalar.packed("b", "c"))
+    for r in packed.withColumn("u", scalar.unpacked("p", "c", "n")).collect():
+        assert r["u"] == r["b"] and len(r["p"] or b"") <= r["n"] and (r["c"] == "none" or r["n"] != 3000 or len(r["p"]) < 100)
+
+
+def test_a_kept_store_ignores_repeats_deletes_and_lists_pages(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "t"), ["digest"], "blob")
+    assert store.rows() is None
+    rows = lambda *x: spark.createDataFrame(x, "digest string, blob string, n bigint")
+    store.insert(rows(("a", "x", 2), ("a", "y", 1), ("b", "x", 3)), ["n"])
+    store.insert(rows(("a", "z", 0), ("c", "x", 4)), ["n"])
+    store.delete(rows(("-", "x", 0)))
+    assert sorted(tuple(r) for r in store.rows().collect()) == [("a", "y", 1)]
+    store.insert(rows(("c", "x", 5), ("d", "w", 6)), ["n"])
+    assert sorted(tuple(r) for r in store.rows().collect()) == [("a", "y", 1), ("c", "x", 5), ("d", "w", 6)]
+    assert sorted((r["digest"], r["page"]) for r in store.pages(["n"], 2).collect()) == [("a", 0), ("c", 0), ("d", 1)]
+    assert [r["blob"] for r in store.lookup(rows(("d", "", 0)).select("digest")).collect()] == ["w"]
+
+
+def test_clusters_of_images_follow_density(spark):
+    """Two groups of images that share all chunks, and one apart, at any radius."""
+    rows = [(f"a{i}", "1", 5) for i in range(6)] + [(f"b{i}", "2", 5) for i in range(7)] + [("c", "9", 5)]
+    got = dictionary.cluster_images(spark.createDataFrame(rows, "image string, digest string, size bigint"), least=5).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["cluster"], set()).add(r["image"])
+    assert sorted(map(sorted, groups.values())) == [[f"a{i}" for i in range(6)], [f"b{i}" for i in range(7)]]
