@@ -123,7 +123,7 @@ def merkle_levels_of(pages: Column, fanout: int = 128, most_levels: int = 9) ->
     """As ``merkle_levels``, of a column of longs: nine levels of 128 hold any."""
     sizes, n = [], pages
     for _ in range(most_levels):
-        n = F.floor((n - 1) / fanout).cast("bigint") + 1
+        n = F.call_function("div", n - 1, F.lit(fanout).cast("bigint")) + 1
         sizes.append(n)
     needed = F.array_position(F.array(*sizes), F.lit(1).cast("bigint"))
     return F.slice(F.array(*sizes), F.lit(1), needed.cast("int"))
