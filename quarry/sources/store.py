@@ -42,7 +42,7 @@ class ChunkStore:
         for number, path in self._generations("rows"):
             part = self.spark.read.parquet(path)
             later = [self.spark.read.parquet(p) for n, p in gone if n > number]
-            kept.append(part.join(reduce(DataFrame.unionByName, later).distinct(), self.owner, "left_anti") if later else part)
+            kept.append(part.join(reduce(DataFrame.unionByName, later).distinct(), self.owner, "left_anti").select(*part.columns) if later else part)
         return reduce(DataFrame.unionByName, kept) if kept else None
 
     def insert(self, rows: DataFrame, order: list[str]) -> None:
