@@ -4,8 +4,9 @@ A profile ranks a language's most frequent byte n-grams of one to three bytes. A
 frequent n-grams are ranked alike, and each language's distance is the sum of how far each n-gram
 is out of place, an absent one counting as the length of the profile. Profiles are learnt from a
 bounded sample of the labelled rows that aren't held out: the ``per_language`` rows of each
-language whose key and text hash lowest. Rows are counted by slices of the hash's range, and only
-those of the first slices that hold as many are ranked, so a language of most rows sends few to a task.
+language whose key and text hash lowest. Rows are counted by slices of the hash's range, coarse ones
+first, and only those of the first slices that hold as many are counted finer and then ranked, so a
+language of most rows sends no more to a task than a few thousand slices and as many rows as it learns from.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text where
 nothing could be learnt; texts of any length are profiled whole; a row with a null key isn't learnt
@@ -32,8 +33,8 @@ from quarry.llm.textvec import chunks
 PROFILE = 400
 #: Labelled rows that each language's profile is learnt from, at most.
 PER_LANGUAGE = 2000
-#: Binary digits of a slice of the hash's range.
-SLICE_BITS = 16
+#: Binary digits of a coarse and of a fine slice of the hash's range.
+SLICE_BITS = (10, 20)
 #: Most rows of small tables (slices, sampled hashes) that are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -75,11 +76,13 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"), held_out(key).alias("out"))
     labelled = labelled.filter("k is not null and t is not null and l is not null and not out").select("t", "l", F.xxhash64("k", "t").alias("h"))
     small = lambda rows: F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-    hashed = cut(labelled.select("l", "h", F.shiftright("h", 64 - SLICE_BITS).cast("int").alias("slice")).distinct())
+    some = cut(labelled.select("l", "h").distinct())
     before = F.sum("n").over(W.partitionBy("l").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
-    counts = hashed.groupBy("l", "slice").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
-    needed = counts.filter(F.col("before") < per_language).select("l", "slice")
-    some = hashed.join(small(needed), ["l", "slice"]).select("l", "h")
+    for bits in SLICE_BITS:
+        sliced = some.withColumn("slice", F.shiftright("h", 64 - bits).cast("int"))
+        counts = sliced.groupBy("l", "slice").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+        needed = counts.filter(F.col("before") < per_language).select("l", "slice")
+        some = cut(sliced.join(small(needed), ["l", "slice"]).select("l", "h"))
     nth = F.row_number().over(W.partitionBy("l").orderBy("h"))
     sample = cut(some.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("l", "h"))
     rows = labelled.join(small(sample), ["l", "h"], "left_semi").groupBy("l", "h").agg(F.first("t").alias("t")).select("l", "t")
