@@ -198,3 +198,28 @@ def test_clusters_of_images_follow_density(spark):
     for r in got:
         groups.setdefault(r["cluster"], set()).add(r["image"])
     assert sorted(map(sorted, groups.values())) == [[f"a{i}" for i in range(6)], [f"b{i}" for i in range(7)]]
+
+
+def test_version_search_equals_a_loop(spark):
+    """Scores in row order, thresholds by repeated addition, later thresholds winning ties."""
+    rng = random.Random(4)
+    rows = [(image, f"v{v}", v, v * 100 + n, 0, rng.choice("abcdefgh") + str(rng.randrange(3)), rng.randrange(1, 9)) for image in ("p", "q") for v in range(1, 11) for n in range(rng.randrange(3, 9))]
+    sizes = {d: n for *_, d, n in rows}
+    rows = [(*r[:-1], sizes[r[-2]]) for r in rows]
+    got = dictionary.search_versions(spark.createDataFrame(rows, "image string, version string, ver bigint, ino bigint, idx bigint, digest string, size bigint")).collect()
+    for image in ("p", "q"):
+        mine = sorted(r[2:] for r in rows if r[0] == image)
+        score, best, held = 0.0, {}, {}
+        for v, _, _, d, _ in mine:
+            held.setdefault(v, set()).add(d)
+        for v, _, _, d, _ in mine:
+            if v <= 7:
+                score = 0.5 * (d in held.get(v - 1, ())) + 0.5 * score
+                best[d] = max(best.get(d, 0.0), score if v > 1 else 0.0)
+        test = {d for v, _, _, d, _ in mine if v > 7}
+        costs = []
+        for t in dictionary.radii(0.5, 0.05, 0.8):
+            kept = {d for d, x in best.items() if x > t}
+            costs.append((sum(sizes[d] for d in kept) + sum(sizes[d] for d in test - kept), -t))
+        cost, t = min(costs)
+        assert next((r["threshold"], r["bytes"]) for r in got if r["image"] == image) == (-t, cost)
