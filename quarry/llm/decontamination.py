@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.textvec import chunks, shingles, whole, words
+from quarry.llm.textvec import chunks, releasing, shingles, whole, words
 
 #: Shingles of the items of a block, at most (8 MB of hashes).
 BLOCK_SHINGLES = 1_000_000
@@ -167,7 +167,7 @@ def contained_items(
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=[key, named, "item_shingles", "shared_shingles", "containment"])
 
-        part = docs.select(key, text).mapInArrow(run, schema)
+        part = docs.select(key, text).mapInArrow(releasing(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -187,5 +187,5 @@ def clean_documents(
                     clean[row] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(releasing(run), docs.schema)
     return docs

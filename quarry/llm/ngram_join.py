@@ -46,7 +46,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import connected_components, cut
-from quarry.llm.textvec import fingerprint, mix, shingle_sets
+from quarry.llm.textvec import fingerprint, mix, release, releasing, shingle_sets
 
 #: Tokens that lossy counting holds at once (16 MB).
 BUFFER = 1 << 21
@@ -56,6 +56,8 @@ LOCAL_MIN, GLOBAL_MIN = 4, 64
 FREQUENT = 1 << 19
 #: Tokens of the sets that meet in a task, at most, but for a single larger set.
 GROUP_TOKENS = 1_000_000
+#: Tokens of a task's sets from which on it gives its memory back at its end.
+RELEASE_TOKENS = 1 << 17
 #: Rows of classes and tasks that are broadcast to fetch their texts (about 60 bytes each), at most.
 BROADCAST_CLASSES = 300_000
 #: Keys of rows to remove that are broadcast, at most (about 100 bytes each).
@@ -114,7 +116,7 @@ def _summaries(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
     id_type = to_arrow_type(docs.schema[key].dataType)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"kind int, id {kind}, n bigint, d1 bigint, d2 bigint")
+    return docs.select(key, text).mapInArrow(releasing(run), f"kind int, id {kind}, n bigint, d1 bigint, d2 bigint")
 
 
 def _frequent(counted: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +187,7 @@ def _index(docs: DataFrame, text: str, k: int, num: int, den: int, extra: float,
                 columns = [pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (owners, marks)]]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "d1", "mark"])
 
-    return docs.select(text).mapInArrow(run, "key bigint, d1 bigint, mark int")
+    return docs.select(text).mapInArrow(releasing(run), "key bigint, d1 bigint, mark int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -264,6 +266,9 @@ def _verified(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 held[pdf["c"].iat[row]] = tokens
         ids = sorted(held)
         roots = link([held[c] for c in ids], num, den) if ids else []
+        if sum(map(len, held.values())) > RELEASE_TOKENS:
+            held.clear()
+            release()
         return pd.DataFrame({"a": ids, "b": [ids[r] for r in roots]}, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
     return groups.select("label", "task", "c", "text", "d1", "d2").groupBy("label", "task").applyInPandas(run, "a bigint, b bigint")
@@ -353,7 +358,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     # Rows of a repeated key are told apart by the digests of their sets.
     unique = stay.join(few(repeated), F.col(key) == F.col("__again"), "left_anti")
     again = cut(docs.join(few(repeated), F.col(key) == F.col("__again"), "left_semi"))
-    digests = again.select(F.col(text).alias("__text")).distinct().mapInArrow(_digests(k), "__text string, __d1 bigint, __d2 bigint, __n bigint")
+    digests = again.select(F.col(text).alias("__text")).distinct().mapInArrow(releasing(_digests(k)), "__text string, __d1 bigint, __d2 bigint, __n bigint")
     told = again.join(digests, again[text].eqNullSafe(digests["__text"])).drop("__text")
     goes = members.filter("goes").select(F.col("id").alias("__id"), F.col("d1").alias("__g1"), F.col("d2").alias("__g2")).distinct()
     kept = told.join(goes, (told[key] == goes["__id"]) & (told["__d1"] == goes["__g1"]) & (told["__d2"] == goes["__g2"]) & (told["__n"] > 0), "left_anti")

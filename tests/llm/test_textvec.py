@@ -57,3 +57,11 @@ def test_equal_lines_hash_alike_across_texts():
 def test_fingerprints_tell_sets_apart():
     a, b = np.array([1, 2, 3], dtype=np.uint64), np.array([1, 2, 4], dtype=np.uint64)
     assert textvec.fingerprint(a) == textvec.fingerprint(a.copy()) != textvec.fingerprint(b)
+
+
+def test_tasks_give_memory_back_and_keep_their_rows():
+    batches = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(3)]
+    assert [b.column(0).to_pylist() for b in textvec.releasing(iter)(iter(batches))] == [[0], [1], [2]]
+    unread = textvec.releasing(iter)(iter(batches))
+    next(unread)
+    unread.close()
