@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators.prefix import CELL, running
+
 
 def natural_key(version: Column) -> Column:
     """The digit runs of a version, as numbers: sorts v1.10 after v1.9."""
@@ -20,22 +24,36 @@ def image_bytes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("image", "digest").agg(F.count("*").alias("uses"), F.sum("size").alias("bytes"), F.max("size").alias("size"))
 
 
-def distances(chunks: DataFrame) -> DataFrame:
-    """(a, b, distance) of all pairs of images: 1 less the share of bytes that repeat in the pair's chunks.
-
-    The repeated bytes of a pair are those of either image alone and one copy of each digest both
-    have, so only digests that two images share are paired, and images with none follow from their totals.
-    """
+def _pair_parts(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals of images named a, the same named b, bytes of one copy of each digest that both of a pair have)."""
     per = image_bytes(chunks)
     totals = per.groupBy("image").agg(F.sum("bytes").alias("total"), F.sum(F.col("bytes") - F.col("size")).alias("repeat"))
     a, b = per.select("digest", F.col("image").alias("a"), "size"), per.select("digest", F.col("image").alias("b"))
     both = a.join(b, "digest").filter("a < b").groupBy("a", "b").agg(F.sum("size").alias("shared"))
     one = lambda n: totals.select(F.col("image").alias(n), F.col("total").alias(f"t{n}"), F.col("repeat").alias(f"r{n}"))
-    # Images are few against chunks; their pairs are the result itself.
-    pairs = one("a").join(one("b"), F.col("a") < F.col("b"))
-    out = pairs.join(both, ["a", "b"], "left")
+    return one("a"), one("b"), both
+
+
+def _distance() -> Column:
+    """1 less the share of bytes that repeat in a pair's chunks: those of either image alone and one copy of each digest both have."""
     repeated = F.col("ra") + F.col("rb") + F.coalesce("shared", F.lit(0))
-    return out.select("a", "b", (F.lit(1.0) - repeated / (F.col("ta") + F.col("tb"))).alias("distance"))
+    return (F.lit(1.0) - repeated / (F.col("ta") + F.col("tb"))).alias("distance")
+
+
+def distances(chunks: DataFrame) -> DataFrame:
+    """(a, b, distance) of all pairs of images, which is the result asked for; ``near_pairs`` makes none but near ones.
+
+    Only digests that two images share are paired; images with none follow from their totals.
+    """
+    a, b, both = _pair_parts(chunks)
+    pairs = a.join(b, F.col("a") < F.col("b"))
+    return pairs.join(both, ["a", "b"], "left").select("a", "b", _distance())
+
+
+def shared_distances(chunks: DataFrame) -> DataFrame:
+    """(a, b, distance) of the pairs of images that share a digest."""
+    a, b, both = _pair_parts(chunks)
+    return both.join(a, "a").join(b, "b").select("a", "b", _distance())
 
 
 def neighbours(near: list[tuple[str, str, float]], radius: float) -> dict[str, list[str]]:
@@ -92,23 +110,55 @@ def radii(low: float = 0.5, step: float = 0.05, high: float = 0.9) -> list[float
 MOST_IMAGES, MOST_PAIRS = 20_000, 5_000_000
 
 
-def near_pairs(chunks: DataFrame, radius: float) -> list[tuple[str, str, float]]:
-    """Pairs of images within a radius; more than the driver holds are an error."""
-    rows = distances(chunks).filter(F.col("distance") <= radius).limit(MOST_PAIRS + 1).collect()
-    if len(rows) > MOST_PAIRS:
+def _total_rows(chunks: DataFrame) -> list[tuple[str, int, int]]:
+    """(image, bytes, repeated bytes) of each image, in order of name; more than the driver holds are an error."""
+    per = image_bytes(chunks).groupBy("image").agg(F.sum("bytes").alias("total"), F.sum(F.col("bytes") - F.col("size")).alias("repeat"))
+    rows = [(r["image"], r["total"], r["repeat"]) for r in per.limit(MOST_IMAGES + 1).collect()]
+    if len(rows) > MOST_IMAGES:
+        raise ValueError(f"more than {MOST_IMAGES} images: cluster groups of them apart")
+    return sorted(rows)
+
+
+def _apart(rows: list[tuple[str, int, int]], radius: float) -> Iterator[tuple[str, str, float]]:
+    """(a, b, distance) of the pairs of images that are near by what repeats inside each, whatever they share.
+
+    A pair is near where the two images' repeated bytes, less what the radius asks of their totals, sum
+    to no less than nothing: each image meets an end of the list that is sorted by this surplus, so
+    only near pairs are visited, up to rounding, which the distance itself settles.
+    """
+    ranked = sorted((repeat - (1.0 - radius) * total, image, total, repeat) for image, total, repeat in rows)
+    surpluses = [x[0] for x in ranked]
+    for i, (surplus, image, total, repeat) in enumerate(ranked):
+        for _, other, t, r in ranked[max(i + 1, bisect.bisect_left(surpluses, -surplus - 1e-9 * total - 1.0)) :]:
+            distance = 1.0 - (repeat + r) / (total + t)
+            if distance <= radius:
+                yield min(image, other), max(image, other), distance
+
+
+def near_pairs(chunks: DataFrame, radius: float, totals: list[tuple[str, int, int]]) -> list[tuple[str, str, float]]:
+    """Pairs of images within a radius; more than the driver holds are an error.
+
+    Pairs that share a digest are found by joining digests; shared bytes only bring a pair nearer, so
+    all others that are near follow from the images' totals.
+    """
+    rows = shared_distances(chunks).filter(F.col("distance") <= radius).limit(MOST_PAIRS + 1).collect()
+    near = {(r["a"], r["b"]): r["distance"] for r in rows}
+    for a, b, distance in _apart(totals, radius):
+        if len(near) > MOST_PAIRS:
+            break
+        near.setdefault((a, b), distance)
+    if len(near) > MOST_PAIRS:
         raise ValueError(f"more than {MOST_PAIRS} pairs of near images: cluster groups of them apart")
-    return [(r["a"], r["b"], r["distance"]) for r in rows]
+    return [(a, b, d) for (a, b), d in near.items()]
 
 
 def cluster_images(chunks: DataFrame, least: int = 10, radius_list: list[float] | None = None) -> DataFrame:
     """(image, cluster): density clusters; images of none are left out. The driver holds a row a pair of near images."""
     spark = chunks.sparkSession
-    images = [r[0] for r in chunks.select("image").distinct().limit(MOST_IMAGES + 1).collect()]
-    if len(images) > MOST_IMAGES:
-        raise ValueError(f"more than {MOST_IMAGES} images: cluster groups of them apart")
+    totals = _total_rows(chunks)
     steps = radii() if radius_list is None else radius_list
-    near = near_pairs(chunks, max(steps))
-    clusters = Clusters(images, least)
+    near = near_pairs(chunks, max(steps), totals)
+    clusters = Clusters([image for image, _, _ in totals], least)
     for radius in steps:
         clusters.grow(neighbours(near, radius))
     return spark.createDataFrame(sorted(clusters.label.items()), "image string, cluster bigint")
@@ -135,23 +185,29 @@ def split_versions(chunks: DataFrame, share: float = 0.7) -> DataFrame:
     return chunks.join(ranked.select("image", "version", part.alias("part")), ["image", "version"])
 
 
-def smoothed(rows: DataFrame, alpha: float = 0.5) -> DataFrame:
+def smoothed(rows: DataFrame, alpha: float = 0.5, cell: Column | None = None, width: int = CELL) -> DataFrame:
     """``score`` of each row (image, ver, pos, digest): exponential smoothing, in row order, of whether its digest is in the version before.
 
     Rows of an image's first version have score 0. A weight shrinks by 1 - alpha with each row, so from
     some row back on all together are below the precision of a double and the sum over a window is the recurrence.
+    An image's rows are numbered in cells (by version, and ``cell``, which doesn't fall in ``pos``), and
+    ``width`` rows meet in a window with as many before them as weigh anything.
     """
     span = 0 if alpha == 1 else math.ceil(-52 * math.log(2) / math.log(1 - alpha))
     vers = rows.select("image", "ver").distinct()
     before = vers.withColumn("prev", F.lag("ver").over(W.partitionBy("image").orderBy("ver")))
     held = rows.select("image", F.col("ver").alias("prev"), "digest").distinct().withColumn("__held", F.lit(1.0))
     marked = rows.join(before, ["image", "ver"]).join(held, ["image", "prev", "digest"], "left")
-    dup = F.coalesce("__held", F.lit(0.0))
-    w = W.partitionBy("image").orderBy("ver", "pos").rowsBetween(-span, 0)
-    seen = marked.withColumn("__dup", F.when(F.col("prev").isNull(), 0.0).otherwise(dup))
+    seen = marked.withColumn("__dup", F.when(F.col("prev").isNull(), 0.0).otherwise(F.coalesce("__held", F.lit(0.0)))).drop("__held")
+    numbered = running(seen, ["image"], F.struct("ver", F.lit(0) if cell is None else cell), ["ver", "pos"], {}, index="__nth")
+    own = F.floor(F.col("__nth") / width)
+    # The last rows of a block are also sent to the blocks whose windows begin before them.
+    reached = numbered.withColumn("__block", F.explode(F.sequence(own, F.floor((F.col("__nth") + span) / width))))
+    w = W.partitionBy("image", "__block").orderBy("__nth").rowsBetween(-span, 0)
     recent = F.reverse(F.collect_list("__dup").over(w))
     score = F.aggregate(F.transform(recent, lambda x, i: x * alpha * F.pow(F.lit(1 - alpha), i)), F.lit(0.0), lambda a, x: a + x)
-    return seen.withColumn("score", F.when(F.col("prev").isNull(), 0.0).otherwise(score)).drop("prev", "__held", "__dup")
+    scored = reached.withColumn("score", F.when(F.col("prev").isNull(), 0.0).otherwise(score)).filter(F.col("__block") == own)
+    return scored.drop("prev", "__dup", "__nth", "__block")
 
 
 def completed(dictionary: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -163,7 +219,7 @@ def completed(dictionary: DataFrame, chunks: DataFrame) -> DataFrame:
 def search_versions(chunks: DataFrame, low: float = 0.5, step: float = 0.05, high: float = 0.8) -> DataFrame:
     """(image, threshold, bytes): the smoothing threshold whose dictionary leaves fewest bytes for the test versions; later ones win ties."""
     split = split_versions(chunks)
-    scored = smoothed(split.filter("part = 'train'").withColumn("pos", F.struct("ino", "idx")))
+    scored = smoothed(split.filter("part = 'train'").withColumn("pos", F.struct("ino", "idx")), cell=F.floor(F.col("ino") / CELL))
     grid = F.array(*[F.lit(t) for t in radii(low, step, high)])
     best = scored.groupBy("image", "digest").agg(F.max("score").alias("score"), F.max("size").alias("size"))
     test = split.filter("part = 'test'").groupBy("image", "digest").agg(F.max("size").alias("need"))
@@ -187,12 +243,11 @@ def search_images(chunks: DataFrame, least: int = 10, rounds: int = 7, enough: f
     train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
     steps, kept = radii(), []
     for number in range(1, rounds + 1):
-        images = [r[0] for r in train.select("image").distinct().limit(MOST_IMAGES + 1).collect()]
-        if not images:
+        totals = _total_rows(train)
+        if not totals:
             break
-        if len(images) > MOST_IMAGES:
-            raise ValueError(f"more than {MOST_IMAGES} images: search groups of them apart")
-        near = near_pairs(train, max(steps))
+        images = [image for image, _, _ in totals]
+        near = near_pairs(train, max(steps), totals)
         clusters, best, least_left, before = Clusters(images, least), None, None, None
         for radius in steps:
             labels = dict(clusters.grow(neighbours(near, radius)))

@@ -9,7 +9,7 @@ from quarry import model
 from quarry.functions import scalar
 from quarry.model import CHUNKS, FILES, OPERATIONS
 from quarry.operators import dictionary, trees
-from quarry.operators.prefix import CELL_BYTES, running
+from quarry.operators.prefix import CELL, CELL_BYTES, running
 from quarry.plans.catalog import query
 from quarry.plans.range_queries import LAYOUT, _layout
 from quarry.sources import formats, sinks
@@ -73,7 +73,7 @@ m AS (SELECT c.image, c.ver, c.ino, c.idx, pv.prev, EXISTS (SELECT 1 FROM chunks
 def exp_smoothing(spark, sf_dir):
     """Scores of chunk classes (the digest's first digit), as whole digests seldom recur between versions here."""
     rows = model.chunks(spark, sf_dir).withColumns({"pos": F.struct("ino", "idx"), "digest": F.substring("digest", 1, 1)})
-    return dictionary.smoothed(rows).select("image", "ino", "idx", F.round("score", 9).alias("score"))
+    return dictionary.smoothed(rows, cell=F.floor(F.col("ino") / CELL)).select("image", "ino", "idx", F.round("score", 9).alias("score"))
 
 
 @query("dict_search_versions")

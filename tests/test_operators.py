@@ -70,7 +70,11 @@ def test_distances_and_clusters(spark):
 def test_smoothing_equals_the_recurrence(spark):
     rng = random.Random(2)
     rows = [("i", v, p, rng.choice("abcd")) for v in range(6) for p in range(40)]
-    got = {(r["ver"], r["pos"]): r["score"] for r in dictionary.smoothed(spark.createDataFrame(rows, "image string, ver bigint, pos bigint, digest string")).collect()}
+    df = spark.createDataFrame(rows, "image string, ver bigint, pos bigint, digest string")
+    got = {(r["ver"], r["pos"]): r["score"] for r in dictionary.smoothed(df).collect()}
+    for width in (7, 60):  # blocks narrower and wider than the rows that weigh anything
+        cells = dictionary.smoothed(df, cell=F.floor(F.col("pos") / 9), width=width).collect()
+        assert len(cells) == len(rows) and {(r["ver"], r["pos"]): r["score"] for r in cells} == got
     last = 0.0
     for _, v, p, d in rows:
         seen = v > 0 and any(x[1] == v - 1 and x[3] == d for x in rows)
@@ -223,3 +227,70 @@ def test_version_search_equals_a_loop(spark):
             costs.append((sum(sizes[d] for d in kept) + sum(sizes[d] for d in test - kept), -t))
         cost, t = min(costs)
         assert next((r["threshold"], r["bytes"]) for r in got if r["image"] == image) == (-t, cost)
+
+
+def plain_distances(rows):
+    """Distances of all pairs by counting each pair's chunks: bytes of a digest's chunks but its first repeat."""
+    out, images = {}, sorted({r[0] for r in rows})
+    for i, a in enumerate(images):
+        for b in images[i + 1 :]:
+            seen, repeated, whole = set(), 0, 0
+            for digest, size in [(d, n) for image, d, n in rows if image in (a, b)]:
+                whole += size
+                repeated += size if digest in seen else 0
+                seen.add(digest)
+            out[a, b] = 1.0 - repeated / whole
+    return out
+
+
+def test_near_pairs_equal_all_pairs_cut_at_the_radius(spark):
+    """Images that share chunks, images that repeat their own and share none, and both."""
+    rng = random.Random(8)
+    sizes = {f"d{i}": rng.randrange(1, 20) for i in range(60)}
+    rows = []
+    for i in range(24):
+        own = [f"d{(i * 2 + j) % 60}" for j in range(rng.randrange(1, 7))]
+        rows += [(f"i{i:02}", d, sizes[d]) for d in own for _ in range(rng.choice([1, 1, 2, 5]))]
+    df, every = spark.createDataFrame(rows, "image string, digest string, size bigint"), plain_distances(rows)
+    for radius in (0.05, 0.3, 0.5, 0.7, 0.9):
+        got = {(a, b): d for a, b, d in dictionary.near_pairs(df, radius, dictionary._total_rows(df))}
+        assert got == {pair: d for pair, d in every.items() if d <= radius}
+    assert {(r["a"], r["b"]): r["distance"] for r in dictionary.distances(df).collect()} == every
+
+
+def test_image_search_equals_a_loop(spark):
+    """Rounds of clusters, votes and uncovered bytes, with plain distances; later radii win ties."""
+    rng = random.Random(9)
+    sizes, chunks = {}, set()
+    for i in range(14):
+        for v in range(1, 5):
+            common = [f"{'ab'[i % 2]}{n}" for n in range(8) if rng.random() < 0.95]
+            for d in [*common, *(f"x{rng.randrange(30)}" for _ in range(2))]:
+                chunks.add((f"i{i:02}", f"v{v}", d, sizes.setdefault(d, rng.randrange(1, 9))))
+    rows = sorted(chunks)
+    got = dictionary.search_images(spark.createDataFrame(rows, "image string, version string, digest string, size bigint"), least=5).collect()
+    train, test = [(i, d, n) for i, v, d, n in rows if v < "v3"], [(d, n) for _, v, d, n in rows if v >= "v3"]
+    expected = []
+    for number in range(1, 8):
+        images = sorted({r[0] for r in train})
+        near = [(a, b, d) for (a, b), d in plain_distances(train).items()]
+        clusters, best, least_left, before = dictionary.Clusters(images, 5), set(), None, None
+        for radius in dictionary.radii():
+            labels = dict(clusters.grow(dictionary.neighbours(near, radius)))
+            if labels == before:
+                continue
+            before, votes = labels, set()
+            for c in set(labels.values()):
+                members = {i for i, x in labels.items() if x == c}
+                for d in {d for i, d, _ in train if i in members}:
+                    if len({i for i, x, _ in train if x == d and i in members}) >= len(members) * 0.9:
+                        votes.add((c, d))
+            left = sum(n for d, n in test if d not in {x for _, x in votes})
+            if least_left is None or left <= least_left:
+                least_left, best = left, votes
+        if not images or len(clusters.label) < 0.2 * len(images):
+            break
+        expected += [(number, c, d) for c, d in best]
+        gone = {d for _, d in best}
+        train, test = [r for r in train if r[1] not in gone], [r for r in test if r[0] not in gone]
+    assert expected and sorted(tuple(r) for r in got) == sorted(expected)
