@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,12 +94,40 @@ def _joined_digest(order: str) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "digest"))), lambda x: x["digest"]), ""), 256)
 
 
-def directory_digests(nodes: DataFrame, levels: int) -> DataFrame:
+#: Children of a directory that are gathered in one row to be hashed, at most; those of a larger one are hashed as they come, in order.
+MOST_CHILDREN = 1 << 17
+
+
+def _streamed_digest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, digest): as ``_joined_digest`` by a key that is never null, holding one batch of rows at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, hashlib.sha256()
+        for frame in frames:
+            done = []
+            for name, digest in zip(frame[key], frame["digest"]):
+                if name != now:
+                    if now is not None:
+                        done.append((now, state.hexdigest()))
+                    now, state = name, hashlib.sha256()
+                state.update(digest.encode())
+            yield pd.DataFrame(done, columns=[key, "digest"])
+        if now is not None:
+            yield pd.DataFrame([(now, state.hexdigest())], columns=[key, "digest"])
+
+    ordered = rows.select(key, order, F.coalesce("digest", F.lit("")).alias("digest")).repartition(key).sortWithinPartitions(key, order)
+    return ordered.select(key, "digest").mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, digest string")
+
+
+def directory_digests(nodes: DataFrame, levels: int, most_children: int = MOST_CHILDREN) -> DataFrame:
     """(path, digest) of directories: the hash of their children's digests in name order, level by level from the deepest.
 
     ``nodes`` has path, parent, is_dir, digest (of files). A level needs the files and directories
-    right below its own, and is checkpointed; one directory's children are aggregated together.
+    right below its own, and is checkpointed. A directory's children are gathered where they are
+    ``most_children`` or fewer; the hash of a larger one is a fold that one task makes, a batch at a time.
     """
+    large = cut(nodes.groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("n")).filter(F.col("n") > most_children).select("path"))
+    any_large = not large.isEmpty()
     files = nodes.filter("not is_dir").select("path", "parent", "digest")
     dirs = cut(nodes.filter("is_dir").select("path", "parent", depth(F.col("path")).alias("depth")))
     out, below = [], None
@@ -104,7 +135,10 @@ def directory_digests(nodes: DataFrame, levels: int) -> DataFrame:
         mine = dirs.filter(F.col("depth") == level).select("path", F.col("parent").alias("__up"))
         held = files if below is None else files.unionByName(below)
         made = mine.join(held.select(F.col("path").alias("__child"), F.col("parent").alias("path"), "digest"), "path")
-        digests = made.groupBy("path", "__up").agg(_joined_digest("__child").alias("digest"))
+        few = made.join(large, "path", "left_anti") if any_large else made
+        digests = few.groupBy("path", "__up").agg(_joined_digest("__child").alias("digest"))
+        if any_large:
+            digests = digests.unionByName(_streamed_digest(made.join(large, "path", "left_semi"), "path", "__child").join(mine, "path").select("path", "__up", "digest"))
         below = cut(digests.select("path", F.col("__up").alias("parent"), "digest"))
         out.append(below.select("path", "digest"))
     return reduce(DataFrame.unionByName, out)

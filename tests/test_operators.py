@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -294,3 +295,18 @@ def test_image_search_equals_a_loop(spark):
         gone = {d for _, d in best}
         train, test = [r for r in train if r[1] not in gone], [r for r in test if r[0] not in gone]
     assert expected and sorted(tuple(r) for r in got) == sorted(expected)
+
+
+def test_digests_of_large_directories_equal_those_of_small_ones(spark):
+    rng = random.Random(10)
+    names = ["/", "/a", "/a/b", "/a/c", "/d"]
+    up = {"/": None, "/a": "/", "/a/b": "/a", "/a/c": "/a", "/d": "/"}
+    rows = [(p, up[p], True, None) for p in names] + [(f"{p}/f{i}".replace("//", "/"), p, False, f"{rng.randrange(1 << 60):x}") for p in names for i in range(rng.choice([1, 3, 40]))]
+    df = spark.createDataFrame(rows, "path string, parent string, is_dir boolean, digest string")
+    held = {p: d for p, _, is_dir, d in rows if not is_dir}
+    for name in sorted(names, key=lambda p: -p.count("/") - (p != "/")):
+        below = sorted((p, held[p]) for p, parent, _, _ in rows if parent == name)
+        held[name] = hashlib.sha256("".join(d for _, d in below).encode()).hexdigest()
+    for most in (0, 3, 1000):
+        got = {r["path"]: r["digest"] for r in trees.directory_digests(df, 2, most).collect()}
+        assert got == {p: held[p] for p in names}
